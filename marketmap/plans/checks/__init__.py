@@ -1,3 +1,3 @@
 """Registered checks, one module per operator family."""
 
-from marketmap.plans.checks import monitor, sources, text  # noqa: F401
+from marketmap.plans.checks import monitor, sites, sources, text  # noqa: F401
