@@ -29,14 +29,20 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set spelled out for btrim (which trims ends only: no regex scan).
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
     """Strip leading/trailing white space the way Python's str.strip() does."""
-    return F.regexp_replace(_c(c), rf"^{PY_WS}+|{PY_WS}+$", "")
+    return F.btrim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
     """' '.join(s.split()): runs of white space to one space, ends trimmed."""
-    return py_strip(F.regexp_replace(_c(c), rf"{PY_WS}+", " "))
+    return F.btrim(F.regexp_replace(_c(c), rf"{PY_WS}+", " "), F.lit(" "))
 
 
 def blank_to_null(c) -> Column:
@@ -135,6 +141,13 @@ _ENTITIES = [
 ]
 
 
+# Dropped subtrees and comments, matched in one left-to-right pass (as an
+# HTML tokenizer meets them); an unclosed element runs to the end.
+_DROP_RE = (r"(?is)<(" + "|".join(DROPPED_HTML_TAGS) + r")\b[^>]*>.*?(?:</\1\s*>|\z)"
+            r"|<!--.*?(?:-->|\z)")
+_TAG_RE = r"<(?:/?[A-Za-z][^>]*|[!?][^>]*)>"
+
+
 def html_text(c) -> Column:
     """TXT9: visible text of an HTML page.
 
@@ -142,13 +155,8 @@ def html_text(c) -> Column:
     turns every remaining tag into a separator, decodes common references
     and collapses white space.
     """
-    x = _c(c)
-    for tag in DROPPED_HTML_TAGS[:2]:
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
-    x = F.regexp_replace(x, r"(?s)<!--.*?(?:-->|\z)", " ")
-    for tag in DROPPED_HTML_TAGS[2:]:
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
-    x = F.regexp_replace(x, r"<(?:/?[A-Za-z][^>]*|[!?][^>]*)>", " ")
+    x = F.regexp_replace(_c(c), _DROP_RE, " ")
+    x = F.regexp_replace(x, _TAG_RE, " ")
     for pat, rep in _ENTITIES:
         x = F.regexp_replace(x, pat, rep)
     return collapse_ws(x)

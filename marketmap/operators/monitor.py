@@ -7,7 +7,7 @@ moves across the shuffle is a handful of rows per partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketmap.constants import (
@@ -84,36 +84,61 @@ def status_report(state: DataFrame, taxonomy_flat: DataFrame | None = None,
                   limit: int = 20) -> DataFrame:
     """MON9: summary counts, top sectors, shares, latest version and sector total.
 
-    Long format ``(section, item, n, pct)``. All parts derive from one
-    ``sector_rollup``; Spark reuses its exchange across the union branches.
+    Long format ``(section, item, n, pct)``. The state is scanned and
+    aggregated once (``sector_rollup``: one row per distinct sector value,
+    bounded by the taxonomy). Totals and ranks are windows over that tiny
+    frame, and every report line is exploded from it, so no branch rescans
+    the state.
     """
     r = sector_rollup(state)
-    summary = summary_from_rollup(r)
+    everything = Window.partitionBy(F.lit(0))
+    ranked = Window.partitionBy(F.lit(0)).orderBy(
+        F.col("sector").isNull(), F.col("n").desc(), F.col("sector"))
+    sector = F.col("sector")
+    x = r.select(
+        "*",
+        F.sum("n").over(everything).alias("total"),
+        F.sum("n_domain").over(everything).alias("domain_found"),
+        F.sum("n_services").over(everything).alias("services_extracted"),
+        F.sum(F.when(_is_placed(sector), F.col("n")).otherwise(0)).over(everything)
+        .alias("classified"),
+        F.sum(F.when(sector == UNCLASSIFIED, F.col("n")).otherwise(0)).over(everything)
+        .alias("unclassified"),
+        F.sum("n_errored").over(everything).alias("errored"),
+        F.max("max_version").over(everything).alias("latest_version"),
+        F.row_number().over(ranked).alias("rk"))
+    # The rk = 1 row carries the report-level lines; a one-row anchor keeps
+    # them present (as zeros) when the state is empty.
+    anchor = x.sparkSession.range(1).select(F.lit(1).alias("rk"))
+    y = x.join(anchor, "rk", "full_outer")
     items = ["total", "domain_found", "services_extracted", "classified", "unclassified",
              "errored"]
-    stack = ", ".join(f"'{c}', {c}" for c in items)
-    part_summary = summary.selectExpr(f"stack({len(items)}, {stack}) as (item, n)") \
-        .select(F.lit("summary").alias("section"), "item", "n",
-                F.lit(None).cast("double").alias("pct"))
-    total = summary.select(F.col("total").alias("_total"))
-    part_sectors = sector_counts_from_rollup(r, limit).crossJoin(F.broadcast(total)).select(
-        F.lit("sector").alias("section"), F.col("sector").alias("item"), "n",
-        (F.lit(100.0) * F.col("n") / F.col("_total")).alias("pct"))
-    part_share = status_shares(summary).select(
-        F.lit("share").alias("section"), F.lit("unclassified_pct").alias("item"),
-        F.lit(None).cast("bigint").alias("n"), F.col("unclassified_pct").alias("pct"))
-    part_version = r.agg(F.max("max_version").cast("bigint").alias("n")).select(
-        F.lit("taxonomy").alias("section"), F.lit("latest_version").alias("item"), "n",
-        F.lit(None).cast("double").alias("pct"))
-    parts = [part_summary, part_sectors, part_share, part_version]
+
+    def line(section, item, n, pct):
+        return F.struct(F.lit(section).alias("section"),
+                        (F.lit(item) if isinstance(item, str) else item).alias("item"),
+                        n.cast("bigint").alias("n"), pct.cast("double").alias("pct"))
+
+    none = F.lit(None)
+    total0 = F.coalesce(F.col("total"), F.lit(0))
+    head = [line("summary", c, F.coalesce(F.col(c), F.lit(0)), none) for c in items]
+    head.append(line("share", "unclassified_pct", none,
+                     F.when(total0 > 0, F.lit(100.0) * F.col("unclassified") / total0)))
+    head.append(line("taxonomy", "latest_version", F.col("latest_version"), none))
+    sector_line = line("sector", sector, F.col("n"), F.lit(100.0) * F.col("n") / F.col("total"))
+    is_head = F.coalesce(F.col("rk") == 1, F.lit(False))
+    is_top = F.coalesce(sector.isNotNull() & (F.col("rk") <= limit), F.lit(False))
+    cands = [(is_head, h) for h in head] + [(is_top, sector_line)]
+    lines = F.transform(
+        F.filter(F.array(*[F.struct(k.alias("keep"), v.alias("l")) for k, v in cands]),
+                 lambda e: e["keep"]),
+        lambda e: e["l"])
+    out = y.select(F.explode(lines).alias("l")).select("l.*")
     if taxonomy_flat is not None:
-        parts.append(taxonomy_flat.agg(F.countDistinct("sector_pos").cast("bigint").alias("n"))
-                     .select(F.lit("taxonomy").alias("section"),
-                             F.lit("sectors").alias("item"), "n",
-                             F.lit(None).cast("double").alias("pct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(
+            taxonomy_flat.agg(F.countDistinct("sector_pos").cast("bigint").alias("n"))
+            .select(F.lit("taxonomy").alias("section"), F.lit("sectors").alias("item"), "n",
+                    F.lit(None).cast("double").alias("pct")))
     return out
 
 

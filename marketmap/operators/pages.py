@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marketmap.constants import MAX_GOOD_PAGES, MAX_TOTAL_CHARS, MIN_GOOD_CHARS, PAGE_PATHS
 from marketmap.functions.text import html_text
+from marketmap.operators.partitioning import spread
 
 
 def page_plan(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
@@ -35,13 +36,25 @@ def fetched_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:
     return plan.select("host", "path_ord").join(ok, ["host", "path_ord"])
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """TXT9 on every fetched page with status 200 and a body, at the scan.
+
+    Extracting before the join means the shuffle carries text, not HTML.
+    """
+    ok = pages.filter((F.col("status_code") == 200) & F.col("html").isNotNull()
+                      & (F.col("html") != ""))
+    return spread(ok).select("host", "path_ord", "page_id", html_text("html").alias("text"))
+
+
 def good_pages(fetched: DataFrame) -> DataFrame:
     """PAG3: page text of >= 500 characters, first 3 per host in path order.
 
+    ``fetched`` carries ``html`` or an already extracted ``text``.
     ``row_number() <= 3`` is planned as a WindowGroupLimit, which trims each
     host to 3 rows before the window's shuffle.
     """
-    t = fetched.select("host", "path_ord", html_text("html").alias("text")) \
+    text = F.col("text") if "text" in fetched.columns else html_text("html")
+    t = fetched.select("host", "path_ord", text.alias("text")) \
         .filter(F.length("text") >= MIN_GOOD_CHARS)
     w = Window.partitionBy("host").orderBy("path_ord")
     return t.withColumn("_rn", F.row_number().over(w)) \
@@ -59,4 +72,5 @@ def site_text(good: DataFrame) -> DataFrame:
 
 def scrape(domains: DataFrame, pages: DataFrame, domain_col: str = "domain") -> DataFrame:
     """PAG1-4 end to end: one (host, raw_length, text) per domain with a usable page."""
-    return site_text(good_pages(fetched_pages(page_plan(domains, domain_col), pages)))
+    plan = page_plan(domains, domain_col).select("host", "path_ord")
+    return site_text(good_pages(plan.join(page_texts(pages), ["host", "path_ord"])))

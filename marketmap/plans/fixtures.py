@@ -64,16 +64,27 @@ def with_views(names, body: str) -> str:
     return f"with {ctes}\n{body}"
 
 
+_RELATIONS: dict[tuple, DataFrame] = {}
+
+
 class Fixtures:
-    """Temp views over one scale-factor folder for a Spark session."""
+    """Temp views over one scale-factor folder for a Spark session.
+
+    Parquet relations are created once per (session, folder) and re-bound
+    as temp views on each use, so repeated runs skip file listing.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
         for t in BASE_TABLES:
-            path = os.path.join(sf_dir, f"{t}.parquet")
-            if os.path.exists(path):
-                spark.read.parquet(path).createOrReplaceTempView(t)
+            key = (id(spark), sf_dir, t)
+            if key not in _RELATIONS:
+                path = os.path.join(sf_dir, f"{t}.parquet")
+                if not os.path.exists(path):
+                    continue
+                _RELATIONS[key] = spark.read.parquet(path)
+            _RELATIONS[key].createOrReplaceTempView(t)
         self._done: set[str] = set()
 
     def table(self, name: str) -> DataFrame:
