@@ -97,40 +97,54 @@ def classify_lexical(companies: DataFrame, flat: DataFrame,
     rationale and keywords.
 
     score = sum of IDF weights of shared terms (rounded to 6 places); top-1
-    by score, shared count, sector_pos, sub_pos. No shared term: UNCLASSIFIED.
+    by score, shared count, sector_pos, sub_pos. No shared term: UNCLASSIFIED
+    ('no taxonomy terms matched'); no usable description: CLS3.
+
+    One pipeline: companies are hash-partitioned by key once; terms are
+    matched against the size-checked broadcast leaf table with a left join
+    (so rows without a match stay in the flow); the per-(company, leaf) sums
+    and the per-company pick run in that same partitioning.
     """
     spec = F.array_join(F.col(specialisms), " ") \
         if specialisms and specialisms in companies.columns else F.lit("")
-    usable = companies.filter(~_no_data(desc))
-    ct = usable.select("company_number", term_array(F.concat_ws(" ", F.col(desc), spec))
-                       .alias("_t")).repartition("company_number") \
-        .select("company_number", F.explode("_t").alias("term"))
+    nodata = _no_data(desc)
+    base = companies.select(
+        "company_number", nodata.alias("_nodata"),
+        F.when(~nodata, term_array(F.concat_ws(" ", F.col(desc), spec))).alias("_t"))
+    ct = base.repartition("company_number") \
+        .select("company_number", "_nodata", F.explode_outer("_t").alias("term"))
     terms = checked_broadcast(leaf_terms(flat))
-    m = ct.join(terms, "term")
+    m = ct.join(terms, "term", "left")
+    hit = F.col("weight").isNotNull()
     per = m.groupBy("company_number", "sector_pos", "sub_pos").agg(
+        F.first("_nodata").alias("_nodata"),
         F.first("sector").alias("sector"), F.first("sub_sector").alias("sub_sector"),
-        F.round(F.sum("weight"), 6).alias("score"), F.count(F.lit(1)).alias("shared"),
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))),
-                1, 3).alias("_kw"))
+        F.round(F.sum("weight"), 6).alias("score"), F.count("weight").alias("shared"),
+        F.slice(F.array_sort(F.collect_list(F.when(hit, F.struct(
+            (-F.col("weight")).alias("w"), "term")))), 1, 3).alias("_kw"))
     w = Window.partitionBy("company_number").orderBy(
-        F.col("score").desc(), F.col("shared").desc(), "sector_pos", "sub_pos")
+        F.col("score").desc_nulls_last(), F.col("shared").desc(), "sector_pos", "sub_pos")
     best = per.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
     kw = F.transform("_kw", lambda x: x["term"])
-    placed = best.select(
-        "company_number", "sector", "sub_sector", _confidence(F.col("shared")).alias("confidence"),
-        F.format_string("matched %d taxonomy terms: %s", F.col("shared"),
-                        F.array_join(kw, ", ")).alias("rationale"),
-        kw.alias("keywords"), "score", "shared")
-    unmatched = usable.select("company_number").join(best.select("company_number"),
-                                                      "company_number", "left_anti") \
-        .select("company_number", F.lit(UNCLASSIFIED).alias("sector"),
-                F.lit(None).cast("string").alias("sub_sector"), F.lit("LOW").alias("confidence"),
-                F.lit("no taxonomy terms matched").alias("rationale"),
-                F.array().cast("array<string>").alias("keywords"),
-                F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("shared"))
-    nodata = no_data_rule(companies, desc).withColumn("score", F.lit(None).cast("double")) \
-        .withColumn("shared", F.lit(None).cast("bigint"))
-    return placed.unionByName(unmatched).unionByName(nodata)
+    matched = F.col("sector_pos").isNotNull()
+    nd = F.col("_nodata")
+
+    def pick(no_data, unmatched, placed):
+        return F.when(nd, no_data).when(~matched, unmatched).otherwise(placed)
+
+    none_s = F.lit(None).cast("string")
+    return best.select(
+        "company_number",
+        pick(F.lit(UNCLASSIFIED), F.lit(UNCLASSIFIED), F.col("sector")).alias("sector"),
+        pick(none_s, none_s, F.col("sub_sector")).alias("sub_sector"),
+        pick(F.lit("LOW"), F.lit("LOW"), _confidence(F.col("shared"))).alias("confidence"),
+        pick(F.lit(NO_SERVICES_RATIONALE), F.lit("no taxonomy terms matched"),
+             F.format_string("matched %d taxonomy terms: %s", F.col("shared"),
+                             F.array_join(kw, ", "))).alias("rationale"),
+        pick(F.lit(None).cast("array<string>"), F.array().cast("array<string>"), kw)
+        .alias("keywords"),
+        pick(F.lit(None).cast("double"), F.lit(0.0), F.col("score")).alias("score"),
+        pick(F.lit(None).cast("bigint"), F.lit(0).cast("bigint"), F.col("shared")).alias("shared"))
 
 
 def missing_responses(companies: DataFrame, responses: DataFrame) -> DataFrame:

@@ -87,23 +87,30 @@ def confidence_band(score) -> F.Column:
         .otherwise(F.lit(None).cast("string"))
 
 
-def search_domain(companies: DataFrame, hits: DataFrame,
-                  queries: DataFrame | None = None) -> DataFrame:
+def search_domain(companies: DataFrame, hits: DataFrame) -> DataFrame:
     """DOM8: first accepted hit by (query_no, rank); method 'serper'.
 
-    Accepted = not a directory, band not NULL, non-empty host. Only hits of
-    queries the plan (DOM3) issues count. Link de-duplication cannot change
-    which hit is first, so it is skipped here.
+    Accepted = a query the plan (DOM3) issues, not a directory, band not
+    NULL, non-empty host. One join of hits to companies carries the name
+    tokens and the postcode flag; the per-company pick reuses its
+    partitioning. Link de-duplication cannot change which hit is first, so
+    it is skipped here.
     """
-    if queries is None:
-        queries = search_queries(companies)
-    planned = hits.join(queries.select("company_number", "query_no"),
-                        ["company_number", "query_no"])
-    host = X.drop_www(X.url_host(F.col("link")))
-    acc = score_hits(drop_directories(
-        planned.filter(F.col("link").isNotNull() & (F.col("link") != ""))), companies) \
-        .filter(F.col("band").isNotNull()).withColumn("_host", host) \
-        .filter(F.col("_host") != "")
+    c = companies.select("company_number", X.name_tokens("company_name").alias("_tokens"),
+                         X.postcode_sector("postcode").isNotNull().alias("_pc"))
+    h = hits.filter(F.col("link").isNotNull() & (F.col("link") != "")) \
+        .select("company_number", "query_no", "rank", "link")
+    j = h.join(c, "company_number")
+    planned = (F.size("_tokens") > 0) & (
+        (F.col("query_no") == 2) | (F.col("_pc") & F.col("query_no").isin(1, 3)))
+    bare = X.bare_label("link")
+    score = F.when(bare == "", F.lit(0)).otherwise(
+        F.size(F.filter("_tokens", lambda t: F.instr(bare, t) > 0)))
+    acc = j.filter(planned & ~X.is_directory_host(X.host("link"))) \
+        .select("company_number", "query_no", "rank",
+                confidence_band(score).alias("band"),
+                X.drop_www(X.url_host(F.col("link"))).alias("_host")) \
+        .filter(F.col("band").isNotNull() & (F.col("_host") != ""))
     best = acc.groupBy("company_number").agg(
         F.min_by(F.struct(F.col("_host").alias("domain"),
                           F.col("band").alias("domain_confidence")),

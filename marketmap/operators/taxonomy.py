@@ -69,7 +69,7 @@ def _err(sector_pos, sub_pos, msg) -> list[Column]:
 
 
 def validate(flat: DataFrame, expected: int = EXPECTED_SECTORS,
-             max_subs: int = MAX_SUB_SECTORS) -> DataFrame:
+             max_subs: int = MAX_SUB_SECTORS, count_rule: bool = True) -> DataFrame:
     """TAX4: one row per error (empty = valid), in the original wording.
 
     Rules: sector count; a sector needs a name (else its other rules are
@@ -113,12 +113,28 @@ def validate(flat: DataFrame, expected: int = EXPECTED_SECTORS,
             F.col("sector_pos"), F.col("sub_pos"), F.format_string(
                 "duplicate sub-sector '%s' in sector '%s'", F.col("sub_sector"),
                 F.col("sector"))))
-    out = count_err
-    for p in [no_name, banned_err, dup_err, many, sub_no_name, sub_dup]:
+    out = no_name
+    for p in ([count_err] if count_rule else []) + [banned_err, dup_err, many, sub_no_name,
+                                                    sub_dup]:
         out = out.unionByName(p)
     return out
 
 
+def validate_document(doc: DataFrame, expected: int = EXPECTED_SECTORS,
+                      max_subs: int = MAX_SUB_SECTORS) -> DataFrame:
+    """TAX4 on one document row: a missing or non-list ``sectors`` is the only
+    error (the reader leaves it NULL); otherwise the count rule and the rules
+    of ``validate``."""
+    shape = doc.filter(F.col("sectors").isNull()).select(*_err(
+        F.lit(None), F.lit(None), F.lit("'sectors' key missing or not a list")))
+    ok = doc.filter(F.col("sectors").isNotNull())
+    count_err = ok.filter(F.size("sectors") != expected).select(*_err(
+        F.lit(None), F.lit(None), F.format_string(
+            "expected exactly %d sectors, got %d", F.lit(expected), F.size("sectors"))))
+    rules = validate(flatten(ok.select("sectors")), expected, max_subs, count_rule=False)
+    return shape.unionByName(count_err).unionByName(rules)
+
+
 # ---- TAX5-6 ----
 
 def diff(old_flat: DataFrame, new_flat: DataFrame) -> DataFrame:
