@@ -20,21 +20,13 @@ from marketmap.constants import (
     NO_SERVICES_RATIONALE,
     UNCLASSIFIED,
 )
+from marketmap.operators.partitioning import checked_broadcast
 from marketmap.operators.sequence import dense_index
 from marketmap.operators.services import json_kind, parse_response
 from marketmap.operators.taxonomy import first_sector_pos, sub_sectors, term_array
 from marketmap.sources.export import py_json_list
 from marketmap.sources.state import as_state_row
 
-# Largest taxonomy term table we broadcast (rows); above it the join shuffles.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; else leave it to the planner."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def _no_data(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c) == "") | (F.col(c) == INSUFFICIENT_DATA)
 
@@ -161,10 +153,11 @@ def validate_proposals(proposals: DataFrame, flat: DataFrame,
                        conf: str = "confidence") -> DataFrame:
     """CLS6: names must be verbatim. UNCLASSIFIED keeps its confidence and drops the
     sub-sector; an unknown sector, or an unknown or NULL sub-sector of a known one,
-    becomes UNCLASSIFIED / NULL / LOW. Both lookups are broadcast (taxonomy-sized)."""
-    names = F.broadcast(first_sector_pos(flat).select("sector", F.lit(True).alias("_known")))
-    pairs = F.broadcast(sub_sectors(flat).select("sector", "sub_sector")
-                        .distinct().withColumn("_pair", F.lit(True)))
+    becomes UNCLASSIFIED / NULL / LOW. Both lookups are taxonomy-sized and
+    broadcast after a size check."""
+    names = checked_broadcast(first_sector_pos(flat).select("sector", F.lit(True).alias("_known")))
+    pairs = checked_broadcast(sub_sectors(flat).select("sector", "sub_sector")
+                              .distinct().withColumn("_pair", F.lit(True)))
     j = proposals.join(names, "sector", "left").join(pairs, ["sector", "sub_sector"], "left")
     is_unc = F.col("sector") == UNCLASSIFIED
     bad = F.col("_known").isNull() | F.col("_pair").isNull()

@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side we broadcast (rows); above it the join is left to the planner.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when a count proves it small (a one-row decision);
+    otherwise leave the strategy to the planner and AQE."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

@@ -20,8 +20,13 @@ from marketmap.constants import (
     TOKEN_STOP_WORDS,
     UNCLASSIFIED,
 )
+from marketmap.operators.partitioning import checked_broadcast
 from marketmap.operators.sequence import dense_index
 
+# Broadcast sides in this module are per-sector tables of one taxonomy
+# document (a handful of rows: 20 sectors once valid) or one-row frames;
+# leaf-level tables go through ``checked_broadcast``.
+
 
 def _opt(df: DataFrame, c: str) -> Column:
     return F.col(c) if c in df.columns else F.lit(None).cast("string")
@@ -57,7 +62,7 @@ def sub_sectors(flat: DataFrame) -> DataFrame:
     """TAX3: sub-sectors of every sector name; the first sector of a name wins."""
     first = first_sector_pos(flat)
     return flat.filter(F.col("sub_pos").isNotNull()) \
-        .join(F.broadcast(first), ["sector", "sector_pos"]) \
+        .join(checked_broadcast(first), ["sector", "sector_pos"]) \
         .select("sector", "sub_pos", "sub_sector")
 
 
@@ -369,7 +374,7 @@ def refine(flat: DataFrame, model, descriptions: DataFrame, key: str = "company_
         .join(F.broadcast(cl), "cluster")
     existing = flat.filter(F.col("sub_pos").isNotNull()).select(
         "sector_pos", F.lower("sub_sector").alias("term"))
-    fresh = terms.join(F.broadcast(existing), ["sector_pos", "term"], "left_anti") \
+    fresh = terms.join(checked_broadcast(existing), ["sector_pos", "term"], "left_anti") \
         .join(F.broadcast(sec), "sector_pos") \
         .filter(F.instr(F.lower("sector"), F.col("term")) == 0)
     return add_sub_sectors(flat, fresh.select("sector_pos", "term", "support"))
@@ -458,7 +463,7 @@ def refresh_by_gap(state: DataFrame, taxonomy_flat: DataFrame, min_support: int
     g = gap_terms(state, taxonomy_flat, min_support)
     existing = taxonomy_flat.filter(F.col("sub_pos").isNotNull()).select(
         "sector_pos", F.lower("sub_sector").alias("term"))
-    fresh = g.join(F.broadcast(existing), ["sector_pos", "term"], "left_anti") \
+    fresh = g.join(checked_broadcast(existing), ["sector_pos", "term"], "left_anti") \
         .filter(F.instr(F.lower("sector"), F.col("term")) == 0)
     new_flat = add_sub_sectors(taxonomy_flat, fresh.select("sector_pos", "term", "support"))
     added = new_flat.filter("added").join(

@@ -45,16 +45,16 @@ def _no_data(fx):
     return K.no_data_rule(fx.view("v_lex_companies"))
 
 
-LEXICAL_SQL = f"""
+LEXICAL_TEMPLATE = f"""
 , leaves as (select sector_pos, sub_pos, sector, sub_sector,
     {terms_sql("concat_ws(' ', coalesce(sector, ''), coalesce(sub_sector, ''), '', '')")} as t
-  from v_lex_taxonomy where sub_pos is not null),
+  from {{tax}} where sub_pos is not null),
 nl as (select count(*) as big_n from leaves),
 lt as (select sector_pos, sub_pos, sector, sub_sector, unnest(t) as term from leaves),
 dfq as (select term, count(*) as df from lt group by term),
 terms as (select lt.term, sector_pos, sub_pos, sector, sub_sector,
   ln((big_n + 1) / (df + 1)) + 1 as weight from lt join dfq on dfq.term = lt.term, nl),
-usable as (select company_number, services_description from v_lex_companies where not ({NO_DATA_WHERE})),
+usable as (select company_number, services_description from {{comp}} where not ({NO_DATA_WHERE})),
 ct as (select company_number, unnest({terms_sql("concat_ws(' ', services_description, '')")}) as term from usable),
 m as (select ct.company_number, terms.* from ct join terms on terms.term = ct.term),
 per as (select company_number, sector_pos, sub_pos, min(sector) as sector, min(sub_sector) as sub_sector,
@@ -72,7 +72,9 @@ select company_number, 'UNCLASSIFIED', null, 'LOW', 'no taxonomy terms matched',
 from usable where company_number not in (select company_number from best)
 union all
 select company_number, 'UNCLASSIFIED', null, 'LOW', 'no services data', null, null, null
-from v_lex_companies where {NO_DATA_WHERE}"""
+from {{comp}} where {NO_DATA_WHERE}"""
+
+LEXICAL_SQL = LEXICAL_TEMPLATE.replace("{tax}", "v_lex_taxonomy").replace("{comp}", "v_lex_companies")
 
 
 @register("classify_lexical", views=["v_lex_companies", "v_lex_taxonomy"], oracle=LEXICAL_SQL)
@@ -293,3 +295,37 @@ select company_number, company_name, cast(null as varchar) as postcode,
 from v_research where error_log is not null""")
 def _retry(fx):
     return retry_plan(fx.view("v_research"), has_taxonomy=True)
+
+
+COHORT_SQL = f"""select company_number, services_description from (
+  select company_number,
+    case when sector = 'UNCLASSIFIED' and taxonomy_version_id = {LATEST_SQL} then null else sector end as sector,
+    case when sector = 'UNCLASSIFIED' and taxonomy_version_id = {LATEST_SQL} then null else taxonomy_version_id end as tv,
+    services_description from v_research) c
+where sector is null and tv is null and services_description is not null"""
+
+_LEX_NEW = LEXICAL_TEMPLATE.replace("{tax}", "v_taxonomy_new").replace("{comp}", "cohort")
+_LEX_BODY = _LEX_NEW.strip()[1:].strip()  # drop the leading comma of the CTE list
+_LEX_CTES, _LEX_SELECT = _LEX_BODY.split("\nselect company_number, sector, sub_sector,", 1)
+
+
+@register("reclassify_cohort", views=["v_research", "v_taxonomy_new"], oracle=f"""
+, cohort as ({COHORT_SQL}),
+{_LEX_CTES},
+lex as (select company_number, sector, sub_sector,{_LEX_SELECT}),
+names as (select sector, min(sector_pos) as p from v_taxonomy_new where sector is not null group by sector),
+pairs as (select distinct t.sector, t.sub_sector from v_taxonomy_new t join names n
+  on n.sector = t.sector and n.p = t.sector_pos where t.sub_pos is not null)
+select l.company_number, l.rationale, l.keywords, l.score, l.shared,
+  case when l.sector = 'UNCLASSIFIED' then l.sector
+       when n.sector is null or pa.sector is null then 'UNCLASSIFIED' else l.sector end as sector,
+  case when l.sector = 'UNCLASSIFIED' or n.sector is null or pa.sector is null then null
+       else l.sub_sector end as sub_sector,
+  case when l.sector = 'UNCLASSIFIED' then l.confidence
+       when n.sector is null or pa.sector is null then 'LOW' else l.confidence end as confidence
+from lex l left join names n on n.sector = l.sector
+left join pairs pa on pa.sector = l.sector and pa.sub_sector = l.sub_sector""")
+def _reclassify(fx):
+    """CLS10: the cleared cohort (RFR5) classified against the newest taxonomy."""
+    cohort = R.cleared_cohort(fx.view("v_research"), latest(fx))
+    return K.reclassify(cohort, fx.view("v_taxonomy_new"))
