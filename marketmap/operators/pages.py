@@ -43,7 +43,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     """
     ok = pages.filter((F.col("status_code") == 200) & F.col("html").isNotNull()
                       & (F.col("html") != ""))
-    return spread(ok).select("host", "path_ord", "page_id", html_text("html").alias("text"))
+    return spread(ok).select("host", "path_ord", html_text("html").alias("text"))
 
 
 def good_pages(fetched: DataFrame) -> DataFrame:

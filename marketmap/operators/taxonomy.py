@@ -319,6 +319,11 @@ def discover(descriptions: DataFrame, k: int = EXPECTED_SECTORS, seed: int = 42,
 
     d = descriptions.filter(_usable(text)).select(key, term_array(text).alias("terms")) \
         .filter(F.size("terms") > 0)
+    # k-means cannot place more centres than distinct points (one-row decision).
+    distinct = d.select(F.array_sort("terms").alias("t")).distinct().count()
+    if distinct < 2:
+        raise ValueError(f"need at least 2 distinct descriptions to cluster, got {distinct}")
+    k = min(k, distinct)
     pipe = Pipeline(stages=[
         CountVectorizer(inputCol="terms", outputCol="_tf", vocabSize=vocab, minDF=1.0),
         IDF(inputCol="_tf", outputCol="_tfidf"),

@@ -63,3 +63,23 @@ def state_root(spark: SparkSession, *parts: str) -> str:
     if not d:
         raise RuntimeError("spark.checkpoint.dir is not set; state needs a shared folder")
     return os.path.join(d, *parts) if parts else d
+
+
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence through the Hadoop file system (works for HDFS/S3/local alike)."""
+    p, fs = _fs_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-directories of ``path`` ([] when it does not exist)."""
+    p, fs = _fs_path(spark, path)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]

@@ -75,7 +75,8 @@ def empty_versions(spark: SparkSession) -> DataFrame:
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
-    if not os.path.exists(path):
+    from marketmap.session import path_exists
+    if not path_exists(spark, path):
         return empty_versions(spark)
     return spark.read.schema(VERSION_SCHEMA).parquet(path)
 
