@@ -17,6 +17,7 @@ from marketmap.constants import (
     REFRESH_WINDOW,
     UNCLASSIFIED,
 )
+from marketmap.operators.partitioning import top_k
 
 # Prices as integer hundred-thousandths of a pound so sums are exact.
 _PRICE_SCALE = 100000
@@ -145,13 +146,12 @@ def status_report(state: DataFrame, taxonomy_flat: DataFrame | None = None,
 def rolling_unclassified(state: DataFrame, window: int = REFRESH_WINDOW) -> DataFrame:
     """MON1: unclassified and total among the last ``window`` rows with a sector.
 
-    ``orderBy().limit()`` plans as a per-partition top-k (TakeOrderedAndProject),
-    so only ``window`` rows per partition ever move.
+    An exact top-``window`` (``top_k``): per-partition top-k, grouped
+    pre-reduction when there are many partitions, one small final merge.
     """
-    last = (state.filter(F.col("sector").isNotNull())
-            .select("company_number", "sector", "processed_at")
-            .orderBy(F.col("processed_at").desc_nulls_last(), F.col("company_number"))
-            .limit(window))
+    last = top_k(state.filter(F.col("sector").isNotNull())
+                 .select("company_number", "sector", "processed_at"),
+                 [F.col("processed_at").desc_nulls_last(), F.col("company_number")], window)
     return last.agg(
         F.count_if(F.col("sector") == UNCLASSIFIED).alias("unclassified"),
         F.count(F.lit(1)).alias("total"),

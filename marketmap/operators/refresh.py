@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketmap.constants import CONTEXT_SAMPLE_N, SAMPLE_SEED, UNCLASSIFIED
+from marketmap.operators.partitioning import top_k
 from marketmap.sources.state import as_state_row, clear_unclassified
 
 
@@ -29,16 +30,15 @@ def context_sample(state: DataFrame, version: DataFrame, n: int = CONTEXT_SAMPLE
                    seed: int = SAMPLE_SEED) -> DataFrame:
     """RFR2: ``n`` placed rows at ``version``, in a seeded hash order (repeatable).
 
-    ``orderBy().limit(n)`` is a per-partition top-n; only ``n`` rows per
-    partition move. Column ``_h`` is the order key.
+    An exact top-n (``top_k``); column ``_h`` is the order key.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("company_number")))
     s = as_state_row(state) if "sub_sector" not in state.columns else state
     placed = _at_version(s, version).filter(
         F.col("sector").isNotNull() & (F.col("sector") != UNCLASSIFIED))
-    return placed.select("company_number", "company_name", "services_description", "sector",
-                         "sub_sector", h.alias("_h")) \
-        .orderBy("_h", "company_number").limit(n)
+    rows = placed.select("company_number", "company_name", "services_description", "sector",
+                         "sub_sector", h.alias("_h"))
+    return top_k(rows, [F.col("_h"), F.col("company_number")], n)
 
 
 def refresh_size(gap: DataFrame, context: DataFrame) -> DataFrame:

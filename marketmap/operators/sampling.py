@@ -9,7 +9,8 @@ Scale: stratum counts are a partial aggregate over at most 703 areas (one
 or two letters, plus '_NONE_'), broadcast back. The in-stratum rank keeps
 only ranks <= n, which Spark plans as a WindowGroupLimit, so a stratum
 holding a third of the input still ships at most n rows per map task. The
-final pick is a per-partition top-n.
+final pick is an exact top-n (``top_k``: grouped pre-reduction when the
+partition count is large).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from marketmap.constants import NONE_AREA, SAMPLE_SEED, SAMPLE_SIZE
 from marketmap.functions.text import postcode_area
+from marketmap.operators.partitioning import top_k
 
 MAX_BROADCAST_SAMPLE = 1_000_000
 
@@ -46,15 +48,15 @@ def stratified_sample(companies: DataFrame, n: int = SAMPLE_SIZE,
     if n <= MAX_BROADCAST_SAMPLE:
         in_quota = F.broadcast(in_quota)
     j = d.join(in_quota, "company_number", "left")
-    picked = j.orderBy(F.col("_in").desc_nulls_last(), "_h", "company_number").limit(n)
+    picked = top_k(j, [F.col("_in").desc_nulls_last(), F.col("_h"), F.col("company_number")], n)
     return picked.drop("_h", "_in")
 
 
 def simple_sample(companies: DataFrame, n: int = SAMPLE_SIZE,
                   seed: int = SAMPLE_SEED) -> DataFrame:
     """SMP3: plain repeatable sample (whole input when n >= rows)."""
-    return companies.withColumn("_h", _hash(seed)) \
-        .orderBy("_h", "company_number").limit(n).drop("_h")
+    d = companies.withColumn("_h", _hash(seed))
+    return top_k(d, [F.col("_h"), F.col("company_number")], n).drop("_h")
 
 
 def sticky_sample(companies: DataFrame, state: DataFrame, n: int = SAMPLE_SIZE,

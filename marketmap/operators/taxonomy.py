@@ -443,7 +443,7 @@ def gap_terms(state: DataFrame, taxonomy_flat: DataFrame, min_support: int = 3,
         .select(key, F.explode(term_array(text)).alias("term"))
     support = gap.groupBy("term").agg(F.count(F.lit(1)).alias("support")) \
         .filter(F.col("support") >= min_support).filter(_not_banned(F.col("term")))
-    overlap = gap.join(vocab, "term").groupBy(key, "sector_pos") \
+    overlap = gap.join(checked_broadcast(vocab), "term").groupBy(key, "sector_pos") \
         .agg(F.count(F.lit(1)).alias("_shared"))
     wb = Window.partitionBy(key).orderBy(F.col("_shared").desc(), F.col("sector_pos"))
     best = overlap.withColumn("_r", F.row_number().over(wb)).filter("_r = 1") \
