@@ -19,9 +19,10 @@ from marketmap.constants import (
     REFRESH_WINDOW,
     UNCLASSIFIED,
 )
-from marketmap.operators.classify import classify_lexical, pending
+from marketmap.operators.classify import classify_lexical
 from marketmap.operators.monitor import price_table
-from marketmap.session import state_root
+from marketmap.operators.partitioning import checked_broadcast
+from marketmap.session import path_exists, state_root
 from marketmap.sources.companies import dedupe_first
 
 
@@ -40,7 +41,7 @@ def _batch_path(table: str, batch_id: int) -> str:
 
 
 def read_batches(spark: SparkSession, table: str, schema) -> DataFrame:
-    if not os.path.exists(table):
+    if not path_exists(spark, table):
         return spark.createDataFrame([], schema)
     return spark.read.parquet(table)
 
@@ -74,10 +75,13 @@ def incremental_classify(spark: SparkSession, input_dir: str, schema, taxonomy_f
 
     def process(batch: DataFrame, batch_id: int) -> None:
         rows = dedupe_first(batch)
-        if os.path.exists(out_table):
-            done = latest_results(spark, out_table).select(
-                "company_number", "sector", F.lit(None).cast("string").alias("error_log"))
-            rows = pending(rows, done)
+        if path_exists(spark, out_table):
+            # Keys of this (bounded) micro-batch already placed by earlier batches:
+            # the results table is scanned against the broadcast batch keys, no shuffle.
+            keys = checked_broadcast(rows.select("company_number"))
+            done = spark.read.parquet(out_table).select("company_number") \
+                .join(keys, "company_number", "left_semi").distinct()
+            rows = rows.join(done, "company_number", "left_anti")
         out = classify_lexical(rows, taxonomy_flat).select(*RESULT_COLS)
         out.write.mode("overwrite").parquet(_batch_path(out_table, batch_id))
 

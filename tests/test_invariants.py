@@ -106,3 +106,33 @@ def test_top_k_grouped_path_is_exact(spark, monkeypatch):
     got = [r["id"] for r in PT.top_k(df, [F.col("h"), F.col("id")], 150).collect()]
     assert sorted(got) == sorted(want)
     assert len(got) == 150
+
+
+def test_dense_index_is_a_permutation_in_order(spark):
+    from marketmap.operators.sequence import dense_index
+    df = spark.range(0, 30000, numPartitions=37).withColumn("k", F.md5(F.col("id").cast("string")))
+    got = dense_index(df, ["k", "id"], "seq").select("id", "k", "seq").toPandas()
+    got = got.sort_values("seq")
+    assert list(got.seq) == list(range(1, 30001))
+    assert list(got.k) == sorted(got.k)
+
+
+def test_hot_key_and_hot_area(spark):
+    """A key and a postcode area each holding a third of the rows."""
+    n = 9000
+    df = spark.range(0, n, numPartitions=16).select(
+        F.col("id").alias("input_seq"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string"))
+        .alias("company_number"),
+        F.concat(F.lit("NAME "), F.col("id").cast("string")).alias("company_name"),
+        F.when(F.col("id") % 3 == 1, F.lit("B1 1AA")).otherwise(
+            F.concat(F.lit("W"), (F.col("id") % 50).cast("string"), F.lit(" 1AA"))).alias("postcode"))
+    d = C.dedupe_first(df)
+    hot = d.filter(F.col("company_number") == "HOT").first()
+    assert hot["input_seq"] == 0 and d.count() == n - n // 3 + 1
+    s = SM.stratified_sample(d, 600)
+    assert s.count() == 600
+    b = s.filter(F.col("area") == "B").count()
+    total = d.count()
+    b_all = d.filter(F.col("postcode") == "B1 1AA").count()
+    assert abs(b - round(600 * (b_all / total))) <= 1
