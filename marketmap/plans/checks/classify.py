@@ -13,10 +13,6 @@ from marketmap.plans.checks.text import postcode_area_sql
 from marketmap.plans.registry import register
 
 
-def research_companies(fx):
-    return companies(fx)
-
-
 @register("pending", views=["v_companies_raw", "v_research"], oracle=f"""{COMPANIES_CTES}
 select company_number, input_seq from companies where company_number not in (
   select company_number from v_research where sector is not null or error_log is not null)""")

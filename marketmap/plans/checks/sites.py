@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from marketmap.constants import DIRECTORY_DOMAINS  # noqa: F401
 from marketmap.operators import domains as D
 from marketmap.operators import pages as P
 from marketmap.operators import services as V
@@ -43,8 +42,8 @@ QUERIES_SQL = f"""select company_number, query_no, query from (
 where pc is not null and len(tk) > 0"""
 
 SCORED_SQL = f"""select h.company_number, h.query_no, h.rank, h.link, {bare_sql('h.link')} as bare,
-  case when {bare_sql('h.link')} = '' then 0
-       else len(list_filter({tokens_sql('c.company_name')}, lambda t: strpos({bare_sql('h.link')}, t) > 0)) end as score
+  cast(case when {bare_sql('h.link')} = '' then 0
+       else len(list_filter({tokens_sql('c.company_name')}, lambda t: strpos({bare_sql('h.link')}, t) > 0)) end as int) as score
 from hx h join companies c on c.company_number = h.company_number"""
 
 SEARCH_PREFIX = f"""
@@ -173,14 +172,14 @@ def _fetched(fx):
 
 @register("good_pages", views=["v_site_pages"], oracle=f""", plan as ({PLAN_SQL}),
 fetched as ({FETCHED_SQL})
-select host, path_ord, length(text) as text_length from ({GOOD_SQL}) z""")
+select host, path_ord, cast(length(text) as int) as text_length from ({GOOD_SQL}) z""")
 def _good(fx):
     g = P.good_pages(P.fetched_pages(P.page_plan(_site_domains(fx)), fx.view("v_site_pages")))
     return g.select("host", "path_ord", F.length("text").alias("text_length"))
 
 
 SITE_SQL = f""", plan as ({PLAN_SQL}), fetched as ({FETCHED_SQL}), good as ({GOOD_SQL})
-select host, length(string_agg(text, chr(10) || chr(10) order by path_ord)) as raw_length,
+select host, cast(length(string_agg(text, chr(10) || chr(10) order by path_ord)) as int) as raw_length,
   substr(string_agg(text, chr(10) || chr(10) order by path_ord), 1, 3000) as text
 from good group by host"""
 

@@ -155,7 +155,7 @@ union all select max(sector_pos) + 1, null from v_taxonomy"""
 
 @register("change_log_lines", views=["v_taxonomy"], oracle=f"""
 , logs as ({CHANGE_LOGS_SQL}),
-e as (select version_id, i - 1 as entry_no, l[i] as e
+e as (select version_id, cast(i - 1 as int) as entry_no, l[i] as e
       from (select version_id, json_extract(change_log, '$[*]') as l from logs where change_log is not null) a,
       range(1, len(l) + 1) r(i))
 select version_id, entry_no, case json_extract_string(e, '$.type')
@@ -173,7 +173,7 @@ select version_id, entry_no, case json_extract_string(e, '$.type')
       coalesce('''' || json_extract_string(e, '$."' || k || '"') || '''', 'None')), ', ') || '}}') end as line
 from e
 union all
-select version_id, 0, '(none reported)' from logs where change_log is null""")
+select version_id, cast(0 as int), '(none reported)' from logs where change_log is null""")
 def _change_lines(fx):
     return T.change_log_lines(_change_logs(fx))
 
@@ -234,7 +234,7 @@ chosen as (select term, sector_pos, score from (select *, row_number() over
   (partition by term order by score desc, sector_pos) as r from votes) z where r = 1),
 names as (select sector_pos, min(sector) as sector from v_taxonomy group by sector_pos)
 select c.term, s.support, c.sector_pos, n.sector, c.score,
-  row_number() over (partition by c.sector_pos order by s.support desc, c.term) as rank
+  cast(row_number() over (partition by c.sector_pos order by s.support desc, c.term) as int) as rank
 from chosen c join support s on s.term = c.term join names n on n.sector_pos = c.sector_pos"""
 
 

@@ -40,12 +40,6 @@ def _batch_path(table: str, batch_id: int) -> str:
     return os.path.join(table, f"batch_id={batch_id}")
 
 
-def read_batches(spark: SparkSession, table: str, schema) -> DataFrame:
-    if not path_exists(spark, table):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(table)
-
-
 def run_available(stream_writer) -> None:
     q = stream_writer.trigger(availableNow=True).start()
     q.awaitTermination()

@@ -89,3 +89,29 @@ def test_mark_sampled_and_clear_error(spark):
     assert got == {"1": 1, "2": 1, "3": 1}
     cleared = {r["company_number"]: r["error_log"] for r in S.clear_error(st, keys).collect()}
     assert cleared == {"1": "scrape: timeout", "2": None}
+
+
+def test_load_taxonomy_file(spark):
+    import json
+
+    from marketmap.operators import taxonomy as T
+    from marketmap.sources import taxonomy_store as TS
+    d = tempfile.mkdtemp(prefix="mm-tax-")
+    p = os.path.join(d, "taxonomy.json")
+    doc = {"sectors": [{"name": "Timber", "description": "wood",
+                        "sub_sectors": [{"name": "Joinery", "description": "doors"}]}]}
+    with open(p, "w", encoding="utf-8") as f:
+        json.dump(doc, f, indent=2)
+    flat = T.flatten(TS.load_taxonomy(spark, p)).collect()
+    assert [(r["sector"], r["sub_sector"], r["sub_description"]) for r in flat] == \
+        [("Timber", "Joinery", "doors")]
+    with pytest.raises(FileNotFoundError, match="Run `discover` mode first"):
+        TS.load_taxonomy(spark, os.path.join(d, "missing.json"))
+
+
+def test_export_empty_writes_nothing(spark):
+    from marketmap.sources.export import write_export
+    out = os.path.join(tempfile.mkdtemp(prefix="mm-exp-"), "out")
+    empty = spark.createDataFrame([], "company_number string, company_name string")
+    assert write_export(empty, out) == 0
+    assert not os.path.exists(out)
