@@ -84,7 +84,8 @@ def _confidence(shared: Column) -> Column:
 
 def classify_lexical(companies: DataFrame, flat: DataFrame,
                      desc: str = "services_description",
-                     specialisms: str | None = "specialisms") -> DataFrame:
+                     specialisms: str | None = "specialisms",
+                     terms: DataFrame | None = None) -> DataFrame:
     """CLS3 + CLS4: one sector and sub-sector per company with confidence,
     rationale and keywords.
 
@@ -95,7 +96,8 @@ def classify_lexical(companies: DataFrame, flat: DataFrame,
     One pipeline: companies are hash-partitioned by key once; terms are
     matched against the size-checked broadcast leaf table with a left join
     (so rows without a match stay in the flow); the per-(company, leaf) sums
-    and the per-company pick run in that same partitioning.
+    and the per-company pick run in that same partitioning. ``terms`` may be
+    a precomputed ``leaf_terms(flat)`` (e.g. shared by micro-batches).
     """
     spec = F.array_join(F.col(specialisms), " ") \
         if specialisms and specialisms in companies.columns else F.lit("")
@@ -105,7 +107,7 @@ def classify_lexical(companies: DataFrame, flat: DataFrame,
         F.when(~nodata, term_array(F.concat_ws(" ", F.col(desc), spec))).alias("_t"))
     ct = base.repartition("company_number") \
         .select("company_number", "_nodata", F.explode_outer("_t").alias("term"))
-    terms = checked_broadcast(leaf_terms(flat))
+    terms = checked_broadcast(leaf_terms(flat) if terms is None else terms)
     m = ct.join(terms, "term", "left")
     hit = F.col("weight").isNotNull()
     per = m.groupBy("company_number", "sector_pos", "sub_pos").agg(

@@ -317,8 +317,10 @@ def discover(descriptions: DataFrame, k: int = EXPECTED_SECTORS, seed: int = 42,
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 
+    # The fits, the guard and the transform all read these term lists: write
+    # them once (a sample's descriptions, bounded by the sample size).
     d = descriptions.filter(_usable(text)).select(key, term_array(text).alias("terms")) \
-        .filter(F.size("terms") > 0)
+        .filter(F.size("terms") > 0).checkpoint(eager=True)
     # k-means cannot place more centres than distinct points (one-row decision).
     distinct = d.select(F.array_sort("terms").alias("t")).distinct().count()
     if distinct < 2:
@@ -331,7 +333,9 @@ def discover(descriptions: DataFrame, k: int = EXPECTED_SECTORS, seed: int = 42,
         KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", maxIter=30),
     ])
     model = pipe.fit(d)
-    assigned = model.transform(d).select(key, "cluster", "terms")
+    # Naming reads the assignments several times: write them once to the
+    # shared checkpoint folder instead of re-running the description pipeline.
+    assigned = model.transform(d).select(key, "cluster", "terms").checkpoint(eager=True)
     return name_clusters(assigned, key), model
 
 

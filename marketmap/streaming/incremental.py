@@ -19,7 +19,7 @@ from marketmap.constants import (
     REFRESH_WINDOW,
     UNCLASSIFIED,
 )
-from marketmap.operators.classify import classify_lexical
+from marketmap.operators.classify import classify_lexical, leaf_terms
 from marketmap.operators.monitor import price_table
 from marketmap.operators.partitioning import checked_broadcast
 from marketmap.session import path_exists, state_root
@@ -65,7 +65,12 @@ def latest_results(spark: SparkSession, table: str) -> DataFrame:
 def incremental_classify(spark: SparkSession, input_dir: str, schema, taxonomy_flat: DataFrame,
                          out_table: str, checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
     """STR1: new input files -> first-wins dedupe -> pending anti-join against the
-    results so far -> classify -> one overwrite partition per micro-batch."""
+    results so far -> classify -> one overwrite partition per micro-batch.
+
+    The taxonomy's weighted term table is computed once and checkpointed to
+    the shared folder, so micro-batches do not re-derive it.
+    """
+    terms = leaf_terms(taxonomy_flat).checkpoint(eager=True)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         rows = dedupe_first(batch)
@@ -76,7 +81,7 @@ def incremental_classify(spark: SparkSession, input_dir: str, schema, taxonomy_f
             done = spark.read.parquet(out_table).select("company_number") \
                 .join(keys, "company_number", "left_semi").distinct()
             rows = rows.join(done, "company_number", "left_anti")
-        out = classify_lexical(rows, taxonomy_flat).select(*RESULT_COLS)
+        out = classify_lexical(rows, taxonomy_flat, terms=terms).select(*RESULT_COLS)
         out.write.mode("overwrite").parquet(_batch_path(out_table, batch_id))
 
     stream = spark.readStream.schema(schema) \
