@@ -443,8 +443,11 @@ def gap_terms(state: DataFrame, taxonomy_flat: DataFrame, min_support: int = 3,
         .join(F.broadcast(pos), "sector") \
         .select("sector_pos", F.explode(term_array(text)).alias("term"))
     vocab = placed.groupBy("sector_pos", "term").agg(F.count(F.lit(1)).alias("_pc"))
+    # Support, overlap and votes all read the gap terms. One explicit
+    # exchange by key is shared by all three (Spark reuses it), and the
+    # key-level aggregate and join downstream keep that partitioning.
     gap = state.filter((F.col("sector") == UNCLASSIFIED) & _usable(text)) \
-        .select(key, F.explode(term_array(text)).alias("term"))
+        .select(key, F.explode(term_array(text)).alias("term")).repartition(key)
     support = gap.groupBy("term").agg(F.count(F.lit(1)).alias("support")) \
         .filter(F.col("support") >= min_support).filter(_not_banned(F.col("term")))
     overlap = gap.join(checked_broadcast(vocab), "term").groupBy(key, "sector_pos") \
@@ -452,7 +455,7 @@ def gap_terms(state: DataFrame, taxonomy_flat: DataFrame, min_support: int = 3,
     wb = Window.partitionBy(key).orderBy(F.col("_shared").desc(), F.col("sector_pos"))
     best = overlap.withColumn("_r", F.row_number().over(wb)).filter("_r = 1") \
         .select(key, "sector_pos")
-    votes = gap.join(support.select("term"), "term").join(best, key) \
+    votes = gap.join(checked_broadcast(support.select("term")), "term").join(best, key) \
         .groupBy("term", "sector_pos").agg(F.count(F.lit(1)).alias("score"))
     wt = Window.partitionBy("term").orderBy(F.col("score").desc(), F.col("sector_pos"))
     chosen = votes.withColumn("_r", F.row_number().over(wt)).filter("_r = 1").drop("_r")
