@@ -443,11 +443,12 @@ def gap_terms(state: DataFrame, taxonomy_flat: DataFrame, min_support: int = 3,
         .join(F.broadcast(pos), "sector") \
         .select("sector_pos", F.explode(term_array(text)).alias("term"))
     vocab = placed.groupBy("sector_pos", "term").agg(F.count(F.lit(1)).alias("_pc"))
-    # Support, overlap and votes all read the gap terms. One explicit
-    # exchange by key is shared by all three (Spark reuses it), and the
-    # key-level aggregate and join downstream keep that partitioning.
+    # Support, overlap and votes all read the gap terms: write them once to
+    # the shared checkpoint folder (UNCLASSIFIED rows only) rather than
+    # re-deriving the state for each. Exchange reuse is not reliable here:
+    # each consumer's plan differs below the shared part.
     gap = state.filter((F.col("sector") == UNCLASSIFIED) & _usable(text)) \
-        .select(key, F.explode(term_array(text)).alias("term")).repartition(key)
+        .select(key, F.explode(term_array(text)).alias("term")).checkpoint(eager=True)
     support = gap.groupBy("term").agg(F.count(F.lit(1)).alias("support")) \
         .filter(F.col("support") >= min_support).filter(_not_banned(F.col("term")))
     overlap = gap.join(checked_broadcast(vocab), "term").groupBy(key, "sector_pos") \
