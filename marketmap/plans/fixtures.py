@@ -75,8 +75,12 @@ class Fixtures:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from marketmap.session import ensure_checkpoint_dir
         self.spark = spark
         self.sf_dir = sf_dir
+        # Checks write state and checkpoints: use the session's shared folder,
+        # or create a local one only when the session names none (tests).
+        ensure_checkpoint_dir(spark)
         for t in BASE_TABLES:
             key = (id(spark), sf_dir, t)
             if key not in _RELATIONS:
