@@ -20,7 +20,7 @@ from marketmap.constants import (
     NO_SERVICES_RATIONALE,
     UNCLASSIFIED,
 )
-from marketmap.operators.partitioning import checked_broadcast
+from marketmap.operators.partitioning import attach_one_row, checked_broadcast
 from marketmap.operators.sequence import dense_index
 from marketmap.operators.services import json_kind, parse_response
 from marketmap.operators.taxonomy import first_sector_pos, sub_sectors, term_array
@@ -73,7 +73,7 @@ def leaf_terms(flat: DataFrame) -> DataFrame:
     lt = leaves.select("sector_pos", "sub_pos", "sector", "sub_sector",
                        F.explode("_t").alias("term"))
     df = lt.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    return lt.join(df, "term").crossJoin(n).select(
+    return attach_one_row(lt.join(df, "term"), n).select(
         "term", "sector_pos", "sub_pos", "sector", "sub_sector",
         (F.log((F.col("_N") + 1) / (F.col("_df") + 1)) + 1).alias("weight"))
 

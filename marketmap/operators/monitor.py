@@ -17,7 +17,7 @@ from marketmap.constants import (
     REFRESH_WINDOW,
     UNCLASSIFIED,
 )
-from marketmap.operators.partitioning import top_k
+from marketmap.operators.partitioning import attach_one_row, top_k
 
 # Prices as integer hundred-thousandths of a pound so sums are exact.
 _PRICE_SCALE = 100000
@@ -167,7 +167,7 @@ def refresh_trigger(rolling: DataFrame, rows_since_refresh: DataFrame | int,
     column ``rows_since_refresh`` (kept lazy: no driver round trip).
     """
     if isinstance(rows_since_refresh, DataFrame):
-        rolling = rolling.crossJoin(rows_since_refresh.select("rows_since_refresh"))
+        rolling = attach_one_row(rolling, rows_since_refresh.select("rows_since_refresh"))
         since = F.col("rows_since_refresh")
     else:
         since = F.lit(rows_since_refresh)

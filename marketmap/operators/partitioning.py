@@ -50,3 +50,12 @@ def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
     pre = df.withColumn("_g", F.spark_partition_id() % groups) \
         .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_g", "_r")
     return pre.orderBy(*order).limit(k)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame (a global aggregate) to every row of ``df``.
+
+    ``one_row`` must be a global aggregate or a literal row, so the join is
+    a broadcast of a single row: it emits exactly ``df``'s rows, never pairs.
+    """
+    return df.crossJoin(F.broadcast(one_row))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketmap.constants import CONTEXT_SAMPLE_N, SAMPLE_SEED, UNCLASSIFIED
-from marketmap.operators.partitioning import top_k
+from marketmap.operators.partitioning import attach_one_row, top_k
 from marketmap.sources.state import as_state_row, clear_unclassified
 
 
@@ -45,7 +45,7 @@ def refresh_size(gap: DataFrame, context: DataFrame) -> DataFrame:
     """RFR3: gap rows + context rows (the original's own 'approximate' total)."""
     g = gap.agg(F.count(F.lit(1)).alias("n_gap"))
     c = context.agg(F.count(F.lit(1)).alias("n_context"))
-    return g.crossJoin(c).withColumn("n_total", F.col("n_gap") + F.col("n_context"))
+    return attach_one_row(g, c).withColumn("n_total", F.col("n_gap") + F.col("n_context"))
 
 
 def refresh_decision(facts: DataFrame, force: bool = False, dry_run: bool = False,
@@ -78,7 +78,7 @@ def cleared_cohort(state: DataFrame, version: DataFrame) -> DataFrame:
     """RFR5: blank the gap rows at ``version``; the cohort is every row with
     sector and version NULL and a description (also never-classified rows)."""
     v = version.select(F.col("version_id").alias("_v"))
-    s = as_state_row(state).crossJoin(F.broadcast(v))
+    s = attach_one_row(as_state_row(state), v)
     cleared = clear_unclassified(s, F.col("_v")).drop("_v")
     return cleared.filter(F.col("sector").isNull() & F.col("taxonomy_version_id").isNull()
                           & F.col("services_description").isNotNull())

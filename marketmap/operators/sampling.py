@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from marketmap.constants import NONE_AREA, SAMPLE_SEED, SAMPLE_SIZE
 from marketmap.functions.text import postcode_area
-from marketmap.operators.partitioning import top_k
+from marketmap.operators.partitioning import attach_one_row, top_k
 
 MAX_BROADCAST_SAMPLE = 1_000_000
 
@@ -36,7 +36,7 @@ def stratified_sample(companies: DataFrame, n: int = SAMPLE_SIZE,
         .withColumn("_h", _hash(seed))
     counts = d.groupBy("area").agg(F.count(F.lit(1)).alias("_cnt"))
     total = counts.agg(F.sum("_cnt").alias("_total"))
-    quota = counts.crossJoin(total).select(
+    quota = attach_one_row(counts, total).select(
         "area", F.least(F.bround(F.lit(float(n)) * (F.col("_cnt") / F.col("_total")), 0),
                         F.col("_cnt")).cast("bigint").alias("_quota"))
     w = Window.partitionBy("area").orderBy("_h", "company_number")

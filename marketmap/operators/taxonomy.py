@@ -20,7 +20,7 @@ from marketmap.constants import (
     TOKEN_STOP_WORDS,
     UNCLASSIFIED,
 )
-from marketmap.operators.partitioning import checked_broadcast
+from marketmap.operators.partitioning import attach_one_row, checked_broadcast
 from marketmap.operators.sequence import dense_index
 
 # Broadcast sides in this module are per-sector tables of one taxonomy
@@ -92,9 +92,8 @@ def validate(flat: DataFrame, expected: int = EXPECTED_SECTORS,
     no_name = sectors.filter(~has_name).select(*_err(
         F.col("sector_pos"), F.lit(None),
         F.format_string("sector[%d] has no name", F.col("sector_pos"))))
-    banned = F.broadcast(flat.sparkSession.createDataFrame(
-        [(i, w) for i, w in enumerate(BANNED_WORDS)], "word_pos int, word string"))
-    banned_err = named.crossJoin(banned) \
+    banned = F.array(*[F.lit(w) for w in BANNED_WORDS])
+    banned_err = named.select("sector_pos", "sector", F.explode(banned).alias("word")) \
         .filter(F.instr(F.lower("sector"), F.col("word")) > 0) \
         .select(*_err(F.col("sector_pos"), F.lit(None), F.format_string(
             "sector '%s' contains banned word '%s'", F.col("sector"), F.col("word"))))
@@ -296,7 +295,7 @@ def _ranked_terms(assigned: DataFrame, key: str) -> DataFrame:
     n_docs = assigned.agg(F.count(F.lit(1)).alias("_N"))
     df_all = docs.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     per = docs.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("_dfc"))
-    s = per.join(df_all, "term").crossJoin(F.broadcast(n_docs)) \
+    s = attach_one_row(per.join(df_all, "term"), n_docs) \
         .withColumn("weight", F.col("_dfc") * F.log((F.col("_N") + 1) / (F.col("_df") + 1)))
     w = Window.partitionBy("cluster").orderBy(F.col("weight").desc(), F.col("term"))
     return s.withColumn("rank", F.row_number().over(w)) \

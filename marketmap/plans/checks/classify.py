@@ -6,6 +6,7 @@ from marketmap.operators import classify as K
 from marketmap.operators import refresh as R
 from marketmap.operators import sampling as SM
 from marketmap.operators import taxonomy as T
+from marketmap.operators.partitioning import attach_one_row
 from marketmap.operators.retry import retry_plan
 from marketmap.plans.checks.sources import COMPANIES_CTES, companies
 from marketmap.plans.checks.taxonomy import ERRORS_SQL, terms_sql
@@ -189,13 +190,15 @@ def _facts(fx):
     st = fx.view("v_research")
     lv = latest(fx)
     cur, new = fx.view("v_taxonomy"), fx.view("v_taxonomy_new")
-    return lv.select(F.col("version_id").alias("latest_version")) \
-        .crossJoin(cur.agg((F.count(F.lit(1)) > 0).alias("has_taxonomy"))) \
-        .crossJoin(R.gap_rows(st, lv).agg(F.count(F.lit(1)).alias("n_gap"))) \
-        .crossJoin(new.agg(F.countDistinct("sector_pos").alias("n_new_sectors"))) \
-        .crossJoin(T.validate(new, expected=5).agg(F.count(F.lit(1)).alias("n_errors"))) \
-        .crossJoin(T.diff(cur, new).filter(F.col("change") == "lost")
-                   .agg(F.count(F.lit(1)).alias("n_lost")))
+    facts = lv.select(F.col("version_id").alias("latest_version"))
+    for part in [cur.agg((F.count(F.lit(1)) > 0).alias("has_taxonomy")),
+                 R.gap_rows(st, lv).agg(F.count(F.lit(1)).alias("n_gap")),
+                 new.agg(F.countDistinct("sector_pos").alias("n_new_sectors")),
+                 T.validate(new, expected=5).agg(F.count(F.lit(1)).alias("n_errors")),
+                 T.diff(cur, new).filter(F.col("change") == "lost")
+                   .agg(F.count(F.lit(1)).alias("n_lost"))]:
+        facts = attach_one_row(facts, part)
+    return facts
 
 
 _ERRS_NEW = "with " + ERRORS_SQL.replace("{expected}", "5").replace(

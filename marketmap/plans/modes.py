@@ -38,12 +38,17 @@ from marketmap.operators import retry as RT
 from marketmap.operators import sampling as SM
 from marketmap.operators import services as V
 from marketmap.operators import taxonomy as T
+from marketmap.operators.partitioning import attach_one_row
 from marketmap.session import list_dirs, path_exists, state_root
 from marketmap.sources import export as X
 from marketmap.sources import state as S
 from marketmap.sources import taxonomy_store as TS
 
 
+CLASSIFICATION_COLUMNS = ["sector", "sub_sector", "classification_confidence", "rationale",
+                          "keywords", "taxonomy_version_id"]
+
+
 class ResearchStore:
     """Patch log + version table under one root (default: the shared checkpoint folder)."""
 
@@ -139,6 +144,9 @@ def run_stages(state: DataFrame, companies: DataFrame, probes: DataFrame, hits:
         F.when(has_desc, F.col("existing_specialisms"))
         .otherwise(F.col("specialisms")).alias("specialisms"),
         F.coalesce(F.col("existing_sampled_for_discovery"), F.lit(0)).alias("sampled_for_discovery"),
+        # Earlier classification is carried, so re-running the stages over
+        # classified rows does not blank their sector (a fixed quirk).
+        *[F.col(f"existing_{c}").alias(c) for c in CLASSIFICATION_COLUMNS],
         V.assemble_errors(F.when(fresh & (F.col("status") == "rejected"),
                                  F.lit("services_extraction: None returned"))).alias("error_log"))
 
@@ -217,13 +225,14 @@ def refresh(store: ResearchStore, trigger: str = "manual", force: bool = False,
     new_flat, log = T.refresh_by_gap(at_version, cur, min_support)
     gap = R.gap_rows(state, vdf)
     ctx = R.context_sample(state, vdf)
-    facts = vdf.select(F.col("version_id").alias("latest_version")) \
-        .crossJoin(cur.agg((F.count(F.lit(1)) > 0).alias("has_taxonomy"))) \
-        .crossJoin(gap.agg(F.count(F.lit(1)).alias("n_gap"))) \
-        .crossJoin(new_flat.agg(F.countDistinct("sector_pos").alias("n_new_sectors"))) \
-        .crossJoin(T.validate(new_flat, expected).agg(F.count(F.lit(1)).alias("n_errors"))) \
-        .crossJoin(T.diff(cur, new_flat).filter(F.col("change") == "lost")
-                   .agg(F.count(F.lit(1)).alias("n_lost")))
+    facts = vdf.select(F.col("version_id").alias("latest_version"))
+    for part in [cur.agg((F.count(F.lit(1)) > 0).alias("has_taxonomy")),
+                 gap.agg(F.count(F.lit(1)).alias("n_gap")),
+                 new_flat.agg(F.countDistinct("sector_pos").alias("n_new_sectors")),
+                 T.validate(new_flat, expected).agg(F.count(F.lit(1)).alias("n_errors")),
+                 T.diff(cur, new_flat).filter(F.col("change") == "lost")
+                   .agg(F.count(F.lit(1)).alias("n_lost"))]:
+        facts = attach_one_row(facts, part)
     d = R.refresh_decision(facts, force, dry_run, trigger).first()
     if not d["accepted"]:
         return {"accepted": False, "reason": d["reason"]}

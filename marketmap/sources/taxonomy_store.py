@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketmap.operators.partitioning import attach_one_row
+
 SUB_TYPE = T.StructType([T.StructField("name", T.StringType()),
                          T.StructField("description", T.StringType())])
 SECTOR_TYPE = T.StructType([T.StructField("name", T.StringType()),
@@ -98,7 +100,7 @@ def append_version(spark: SparkSession, path: str, taxonomy_json: DataFrame,
     else:
         cnt = spark.range(1).select(F.lit(company_count).cast("int")
                                     .alias("company_count_used"))
-    row = (taxonomy_json.select("taxonomy_json").crossJoin(cnt)
+    row = (attach_one_row(taxonomy_json.select("taxonomy_json"), cnt)
            .select(F.lit(vid).cast("int").alias("version_id"), "taxonomy_json",
                    "company_count_used",
                    F.lit(trigger).alias("refresh_trigger"),
