@@ -81,9 +81,10 @@ class Fixtures:
         # Checks write state and checkpoints: use the session's shared folder,
         # or create a local one only when the session names none (tests).
         ensure_checkpoint_dir(spark)
+        app = spark.sparkContext.applicationId
         for t in BASE_TABLES:
-            key = (id(spark), sf_dir, t)
-            if key not in _RELATIONS:
+            key = (id(spark), app, sf_dir, t)
+            if key not in _RELATIONS or _RELATIONS[key].sparkSession is not spark:
                 path = os.path.join(sf_dir, f"{t}.parquet")
                 if not os.path.exists(path):
                     continue
