@@ -73,7 +73,9 @@ def incremental_classify(spark: SparkSession, input_dir: str, schema, taxonomy_f
     terms = leaf_terms(taxonomy_flat).checkpoint(eager=True)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rows = dedupe_first(batch)
+        # The micro-batch is read by the size check, the anti-join and the
+        # scorer: keep it for the duration of this batch only.
+        rows = dedupe_first(batch).persist()
         if path_exists(spark, out_table):
             # Keys of this (bounded) micro-batch already placed by earlier batches:
             # the results table is scanned against the broadcast batch keys, no shuffle.
@@ -83,6 +85,7 @@ def incremental_classify(spark: SparkSession, input_dir: str, schema, taxonomy_f
             rows = rows.join(done, "company_number", "left_anti")
         out = classify_lexical(rows, taxonomy_flat, terms=terms).select(*RESULT_COLS)
         out.write.mode("overwrite").parquet(_batch_path(out_table, batch_id))
+        rows.unpersist()
 
     stream = spark.readStream.schema(schema) \
         .option("maxFilesPerTrigger", files_per_trigger).parquet(input_dir)
