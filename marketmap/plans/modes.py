@@ -72,10 +72,35 @@ class ResearchStore:
         patches.write.mode("overwrite").parquet(os.path.join(self.patches, f"batch_id={b}"))
         return b
 
+    def _base(self) -> int:
+        """First batch of the live log (the last compaction), 0 when never compacted."""
+        marker = os.path.join(self.root, "_base")
+        if not path_exists(self.spark, marker):
+            return 0
+        return self.spark.read.json(marker).agg(F.max("base")).first()[0]
+
     def current(self) -> DataFrame:
         if not path_exists(self.spark, self.patches):
             return S.as_state_row(self.spark.createDataFrame([], "company_number string"))
-        return S.latest(self.spark.read.parquet(self.patches).drop("batch_id"))
+        log = self.spark.read.parquet(self.patches)
+        base = self._base()
+        if base:
+            log = log.filter(F.col("batch_id") >= base)  # partition pruning
+        return S.latest(log.drop("batch_id"))
+
+    def compact(self) -> int:
+        """Write the current state as one full batch and start the live log there.
+
+        Batches before it are no longer read (and may be deleted). If the job
+        dies before the marker is written, the extra batch is just one more
+        full patch per key, so the state is unchanged.
+        """
+        b = self._next_batch()
+        snap = S.make_patches(self.current(), b, S.FULL)
+        snap.write.mode("overwrite").parquet(os.path.join(self.patches, f"batch_id={b}"))
+        self.spark.createDataFrame([(b,)], "base int").write.mode("overwrite") \
+            .json(os.path.join(self.root, "_base"))
+        return b
 
     # -- taxonomy versions --
     def versions_df(self) -> DataFrame:

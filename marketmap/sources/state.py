@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketmap.constants import STATE_COLUMNS
+from marketmap.constants import RECLASSIFY_CLEARED, STATE_COLUMNS, UNCLASSIFIED
 
 STATE_TYPES = {
     "company_number": T.StringType(), "company_name": T.StringType(),
@@ -118,7 +118,6 @@ def clear_unclassified(state: DataFrame, version) -> DataFrame:
 
     ``version`` is an int or a Column (e.g. from a one-row join).
     """
-    from marketmap.constants import RECLASSIFY_CLEARED, UNCLASSIFIED
     v = version if isinstance(version, F.Column) else F.lit(version)
     hit = (F.col("sector") == UNCLASSIFIED) & (F.col("taxonomy_version_id") == v)
     s = as_state_row(state) if set(STATE_COLUMNS) - set(state.columns) else state

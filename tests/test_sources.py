@@ -115,3 +115,22 @@ def test_export_empty_writes_nothing(spark):
     empty = spark.createDataFrame([], "company_number string, company_name string")
     assert write_export(empty, out) == 0
     assert not os.path.exists(out)
+
+
+def test_store_compaction_keeps_state(spark):
+    from marketmap.plans.modes import ResearchStore
+    store = ResearchStore(spark, tempfile.mkdtemp(prefix="mm-store-"))
+    st = _state(spark)
+    store.append(st, stamp=False)
+    store.append(spark.createDataFrame([("1", "A2")], "company_number string, company_name string"),
+                 stamp=False)
+    store.append(spark.createDataFrame([("2",)], "company_number string"), kind=S.FLAG)
+    before = sorted(map(tuple, store.current().collect()))
+    base = store.compact()
+    assert base == 4
+    assert sorted(map(tuple, store.current().collect())) == before
+    store.append(spark.createDataFrame([("3", "C")], "company_number string, company_name string"),
+                 stamp=False)
+    after = {r["company_number"]: r for r in store.current().collect()}
+    assert set(after) == {"1", "2", "3"} and after["1"]["company_name"] == "A2"
+    assert after["2"]["sampled_for_discovery"] == 1
