@@ -4,6 +4,7 @@
 the rows are range-partitioned and sorted on the order key, each partition
 is counted (a few numbers per partition), the counts become offsets in a
 tiny broadcast table, and every row gets offset + position in partition.
+The tagged rows are checkpointed once so both reads see one partitioning.
 The order key must be unique (add the primary key as the last column).
 """
 
@@ -18,10 +19,11 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "seq",
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # Counts and rows must come from the same partitioning. Exchange reuse is
+    # not guaranteed, and a re-run range partitioner may sample different
+    # bounds after an upstream shuffle, so the tagged rows are written once.
     tagged = ordered.withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_mid", F.monotonically_increasing_id())
-    # Both branches read the same range exchange (Spark reuses it), so
-    # positions and counts come from one materialised shuffle.
+        .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"),
                                         F.min("_mid").alias("_first"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
