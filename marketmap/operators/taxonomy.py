@@ -242,7 +242,8 @@ def description_batches(eligible: DataFrame, batch: int = CLUSTER_BATCH,
     ``batch`` rows, never the whole table.
     """
     idx = dense_index(eligible, [order], "_idx")
-    line = F.format_string("[%s]: %s", F.coalesce(F.col("company_name"), F.lit("?")),
+    # A present-but-NULL name prints as 'None' (Python formatting of None).
+    line = F.format_string("[%s]: %s", F.coalesce(F.col("company_name"), F.lit("None")),
                            F.coalesce(F.col("services_description"), F.lit("")))
     b = idx.withColumn("batch_no", F.floor((F.col("_idx") - 1) / batch).cast("bigint"))
     return b.groupBy("batch_no").agg(
@@ -254,7 +255,7 @@ def description_batches(eligible: DataFrame, batch: int = CLUSTER_BATCH,
 def refresh_context(sample: DataFrame, order: str = "_order") -> DataFrame:
     """TAX9: ``[name] (sector / sub): description`` for the (bounded) context sample."""
     line = F.format_string(
-        "[%s] (%s / %s): %s", F.coalesce(F.col("company_name"), F.lit("?")),
+        "[%s] (%s / %s): %s", F.coalesce(F.col("company_name"), F.lit("None")),
         F.coalesce(F.col("sector"), F.lit("None")),
         F.coalesce(_opt(sample, "sub_sector"), F.lit("None")),
         F.coalesce(F.col("services_description"), F.lit("")))

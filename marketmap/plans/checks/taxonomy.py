@@ -184,7 +184,7 @@ def _change_lines(fx):
         from v_research where sampled_for_discovery = 1 and services_description is not null
           and services_description <> 'INSUFFICIENT_DATA')
 select cast(floor((idx - 1) / 100) as bigint) as batch_no, count(*) as n,
-  string_agg('[' || coalesce(company_name, '?') || ']: ' || coalesce(services_description, ''), chr(10) order by idx) as block
+  string_agg('[' || coalesce(company_name, 'None') || ']: ' || coalesce(services_description, ''), chr(10) order by idx) as block
 from e group by 1""")
 def _batches(fx):
     return T.description_batches(eligible_services(fx.view("v_research")))
@@ -200,7 +200,7 @@ order by md5('42:' || company_number), company_number limit 200"""
 
 @register("refresh_context", views=["v_research"], oracle=f"""
 , c as ({CONTEXT_SQL})
-select count(*) as n, string_agg(printf('[%s] (%s / %s): %s', coalesce(company_name, '?'),
+select count(*) as n, string_agg(printf('[%s] (%s / %s): %s', coalesce(company_name, 'None'),
   coalesce(sector, 'None'), coalesce(sub_sector, 'None'), coalesce(services_description, '')),
   chr(10) order by md5('42:' || company_number), company_number) as block from c""")
 def _context(fx):
