@@ -12,9 +12,10 @@ from marketmap.plans.checks.text import (
 from marketmap.plans.registry import register
 
 
-def hits(fx):
+def hits(fx, comp=None):
     """Search hits keyed by company (input position -> company number)."""
-    c = companies(fx).select("company_number", F.col("input_seq").alias("company_seq"))
+    c = (comp if comp is not None else companies(fx)) \
+        .select("company_number", F.col("input_seq").alias("company_seq"))
     return fx.view("v_search_hits").join(c, "company_seq") \
         .select("company_number", "query_no", "rank", "link")
 
@@ -120,7 +121,8 @@ def _bands(fx):
 @register("domain_search", views=["v_companies_raw", "v_search_hits"],
           oracle=f"{COMPANIES_CTES}{SEARCH_SQL}")
 def _search(fx):
-    return D.search_domain(companies(fx), hits(fx))
+    c = companies(fx)
+    return D.search_domain(c, hits(fx, c))
 
 
 @register("domain_resolved", views=["v_companies_raw", "v_host_probe", "v_search_hits"],
@@ -133,8 +135,7 @@ from companies c left join g on g.company_number = c.company_number
 left join s on s.company_number = c.company_number""")
 def _resolved(fx):
     c = companies(fx)
-    h = hits(fx)
-    return D.resolve_domains(c, fx.view("v_host_probe"), h)
+    return D.resolve_domains(c, fx.view("v_host_probe"), hits(fx, c))
 
 
 # ---- pages ----
