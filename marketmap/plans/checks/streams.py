@@ -51,3 +51,16 @@ def _spend(fx):
     run, src, schema = _stage(fx, "v_calls", "spend", 10, "seq")
     return S.streaming_spend(fx.spark, src, schema, os.path.join(run, "spend"),
                              os.path.join(run, "ckpt"))
+
+
+@register("drift_last_w", views=["v_research"], oracle="""
+select 'all' as key, count(*) filter (where sector = 'UNCLASSIFIED') as unclassified, count(*) as total,
+  count(*) filter (where sector = 'UNCLASSIFIED') / cast(greatest(count(*), 1) as double) as rate,
+  count(*) >= 1000 and count(*) filter (where sector = 'UNCLASSIFIED') / cast(greatest(count(*), 1) as double) > 0.05 as trigger
+from (select sector from v_research where sector is not null
+      order by processed_at desc nulls last, company_number limit 1000) z""")
+def _last_w(fx):
+    """STR2 count-based: the stream's final last-1000 equals MON1 over the same rows."""
+    run, src, schema = _stage(fx, "v_research", "lastw", 10, "company_number")
+    return S.drift_last_w(fx.spark, src, schema, os.path.join(run, "lastw"),
+                          os.path.join(run, "ckpt"), window=1000)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketmap.constants import (
@@ -22,7 +22,7 @@ from marketmap.constants import (
 from marketmap.operators.classify import classify_lexical, leaf_terms
 from marketmap.operators.monitor import price_table
 from marketmap.operators.partitioning import checked_broadcast
-from marketmap.session import path_exists, state_root
+from marketmap.session import list_dirs, path_exists, state_root
 from marketmap.sources.companies import dedupe_first
 
 
@@ -129,6 +129,54 @@ def drift_monitor(spark: SparkSession, input_dir: str, schema, out_table: str, c
                        ((F.col("_r.total") >= min_total) & (rate > threshold)).alias("trigger"))
 
 
+# ---- STR2 (count-based): the last W completed rows ----
+
+def _previous_batch(spark: SparkSession, table: str, batch_id: int) -> int | None:
+    ids = [int(d.split("=", 1)[1]) for d in list_dirs(spark, table) if d.startswith("batch_id=")]
+    ids = [i for i in ids if i < batch_id]
+    return max(ids) if ids else None
+
+
+def drift_last_w(spark: SparkSession, input_dir: str, schema, out_table: str, checkpoint: str,
+                 window: int = REFRESH_WINDOW,
+                 threshold: float = REFRESH_UNCLASSIFIED_THRESHOLD,
+                 key: str | None = None, files_per_trigger: int = 1) -> DataFrame:
+    """STR2: unclassified rate over the last ``window`` completed rows (by
+    processed_at, then company_number), per ``key`` or overall.
+
+    Each micro-batch unions its completed rows with the previous snapshot
+    and keeps the newest ``window`` per key. ``row_number() <= window`` is
+    planned as a WindowGroupLimit, so even a single hot key is trimmed to
+    ``window`` rows per task before its shuffle. Exact whatever the arrival
+    order; each snapshot is its own overwrite partition (replay-safe).
+    """
+    k = F.col(key) if key else F.lit("all")
+    order = [F.col("processed_at").desc_nulls_last(), F.col("company_number")]
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.filter(F.col("sector").isNotNull()).select(
+            k.cast("string").alias("key"), "company_number", "processed_at",
+            (F.col("sector") == UNCLASSIFIED).alias("unclassified"))
+        prev = _previous_batch(spark, out_table, batch_id)
+        if prev is not None:
+            rows = rows.unionByName(spark.read.parquet(_batch_path(out_table, prev)))
+        w = Window.partitionBy("key").orderBy(*order)
+        rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= window) \
+            .drop("_r").write.mode("overwrite").parquet(_batch_path(out_table, batch_id))
+
+    stream = spark.readStream.schema(schema) \
+        .option("maxFilesPerTrigger", files_per_trigger).parquet(input_dir)
+    run_available(stream.writeStream.foreachBatch(process)
+                  .option("checkpointLocation", checkpoint))
+    last = _previous_batch(spark, out_table, 1 << 62)
+    snap = spark.read.parquet(_batch_path(out_table, last))
+    agg = snap.groupBy("key").agg(F.count_if("unclassified").alias("unclassified"),
+                                  F.count(F.lit(1)).alias("total"))
+    rate = F.col("unclassified") / F.greatest(F.col("total"), F.lit(1)).cast("double")
+    return agg.select("key", "unclassified", "total", rate.alias("rate"),
+                      ((F.col("total") >= window) & (rate > threshold)).alias("trigger"))
+
+
 # ---- STR3: streaming spend ----
 
 def streaming_spend(spark: SparkSession, input_dir: str, schema, out_table: str,
