@@ -48,3 +48,27 @@ def test_cli_surface():
                   "--sample-size", "10"],
                  ["retry-failed", "--probes", "p", "--hits", "h", "--pages", "g"]):
         assert p.parse_args(argv).cmd == argv[0]
+
+
+def test_stages_resume_and_retry(spark):
+    from marketmap.plans.modes import run_stages
+    state = spark.createDataFrame(
+        [("1", "ACME LTD", "acme.co.uk", "HIGH", "guess", "makes things", "S", "sub", 1)],
+        "company_number string, company_name string, domain string, domain_confidence string, "
+        "domain_method string, services_description string, sector string, sub_sector string, "
+        "sampled_for_discovery int")
+    companies = spark.createDataFrame([("1", "ACME LTD", "RH4 1HF"), ("2", "BETA LTD", None)],
+                                      "company_number string, company_name string, postcode string")
+    probes = spark.createDataFrame([], "host string, status_code int")
+    hits = spark.createDataFrame([], "company_number string, query_no int, rank int, link string")
+    pages = spark.createDataFrame([], "host string, path_ord int, status_code int, html string")
+    got = {r["company_number"]: r for r in
+           run_stages(state, companies, probes, hits, pages).collect()}
+    assert got["1"]["domain"] == "acme.co.uk" and got["1"]["domain_method"] == "guess"
+    assert got["1"]["services_description"] == "makes things"
+    assert got["1"]["sector"] == "S" and got["1"]["sub_sector"] == "sub"   # carried, not blanked
+    assert got["1"]["sampled_for_discovery"] == 1
+    assert got["2"]["domain"] is None and got["2"]["services_description"] is None
+    again = {r["company_number"]: r for r in
+             run_stages(state, companies, probes, hits, pages, resume=False).collect()}
+    assert again["1"]["domain"] is None and again["1"]["sector"] is None   # retry starts from nothing
