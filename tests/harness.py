@@ -19,11 +19,32 @@ import pandas as pd
 from marketmap.plans.fixtures import BASE_TABLES
 
 
-def oracle_frame(sql: str, sf_dir: str) -> pd.DataFrame:
+def _connect(sf_dir: str):
     con = duckdb.connect()
     for t in BASE_TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
-    return con.execute(sql).fetch_df()
+    return con
+
+
+def oracle_frame(sql: str, sf_dir: str) -> pd.DataFrame:
+    return _connect(sf_dir).execute(sql).fetch_df()
+
+
+# Spark simpleString -> DuckDB type name, for the schema comparison.
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                   "boolean": "BOOLEAN", "array<string>": "VARCHAR[]",
+                   "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def type_mismatches(spark_df, sql: str, sf_dir: str) -> list:
+    rel = _connect(sf_dir).sql(sql)
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in spark_df.schema.fields:
+        want = SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString())
+        if duck.get(f.name) != want:
+            out.append((f.name, f.dataType.simpleString(), duck.get(f.name)))
+    return out
 
 
 def _norm(v):

@@ -4,14 +4,16 @@ import pytest
 
 from marketmap.plans.registry import ORACLES, QUERIES, load_all
 from tests.conftest import SF_SMALL
-from tests.harness import compare, oracle_frame
+from tests.harness import compare, oracle_frame, type_mismatches
 
 load_all()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, name):
-    got = QUERIES[name](spark, SF_SMALL).toPandas()
+    df = QUERIES[name](spark, SF_SMALL)
+    assert type_mismatches(df, ORACLES[name], SF_SMALL) == []
+    got = df.toPandas()
     want = oracle_frame(ORACLES[name], SF_SMALL)
     ok, msg = compare(got, want)
     assert ok, msg
