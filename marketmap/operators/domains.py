@@ -103,13 +103,17 @@ def search_domain(companies: DataFrame, hits: DataFrame) -> DataFrame:
     j = h.join(c, "company_number")
     planned = (F.size("_tokens") > 0) & (
         (F.col("query_no") == 2) | (F.col("_pc") & F.col("query_no").isin(1, 3)))
-    bare = X.bare_label("link")
+    # The host is parsed once per hit; label, directory test and the stored
+    # host all derive from it.
+    h = j.filter(planned).select("company_number", "query_no", "rank", "_tokens",
+                                 X.host("link").alias("_h"),
+                                 X.drop_www(X.url_host(F.col("link"))).alias("_host"))
+    bare = F.substring_index(F.col("_h"), ".", 1)
     score = F.when(bare == "", F.lit(0)).otherwise(
         F.size(F.filter("_tokens", lambda t: F.instr(bare, t) > 0)))
-    acc = j.filter(planned & ~X.is_directory_host(X.host("link"))) \
-        .select("company_number", "query_no", "rank",
-                confidence_band(score).alias("band"),
-                X.drop_www(X.url_host(F.col("link"))).alias("_host")) \
+    acc = h.filter(~X.is_directory_host(F.col("_h"))) \
+        .select("company_number", "query_no", "rank", confidence_band(score).alias("band"),
+                "_host") \
         .filter(F.col("band").isNotNull() & (F.col("_host") != ""))
     best = acc.groupBy("company_number").agg(
         F.min_by(F.struct(F.col("_host").alias("domain"),
