@@ -195,18 +195,21 @@ def train(docs: DataFrame) -> Model:
                 for lang, cal, b, n in zip(*cols)])
 
 
+def _scores(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best language, its probability (0 without a letter) and the number of n-grams of each text."""
+    if not model.languages or not texts:
+        return np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), int)
+    z, n = logits(model, texts)
+    p = softmax(z / model.temperature)
+    return p.argmax(axis=1), np.where(n > 0, p.max(axis=1), 0.0), n
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected; the model is a fixed-size table that goes with the function."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if not model.languages or not texts:
-                best, top, n = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), int)
-            else:
-                z, n = logits(model, texts)
-                p = softmax(z / model.temperature)
-                best, top = p.argmax(axis=1), np.where(n > 0, p.max(axis=1), 0.0)
+            best, top, n = _scores(model, batch.column("text").to_pylist())
             names = [model.languages[b] if k else "und" for b, k in zip(best, n)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(top, pa.float64()),
@@ -217,6 +220,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         score, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows and columns of ``docs`` (with a text column) that are not rejected."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, top, n = _scores(model, batch.column("text").to_pylist())
+            yield batch.filter(pa.array((n > 0) & (top >= model.threshold), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
     return predict(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketmap.llm import (decontaminate, exact_dedup, html_extract, language_id, license_scan, near_dedup, packing,
-                           secret_scan, toxicity)
+                           secret_scan, token_binary, toxicity)
 from marketmap.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_decontaminate, op5_license_scan, op6_toxicity,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_token_binary, op4_decontaminate, op5_license_scan, op6_toxicity,
                                    op7_html_extract, op8_packing, op9_near_dedup, op10_secret_scan)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql()}
