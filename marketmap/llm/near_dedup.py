@@ -8,11 +8,13 @@
    the posterior probability (uniform prior) that its similarity reaches the threshold is under
    MISS. Pairs that survive are verified on their full shingle sets.
 4. Verified links are joined to components. Links only matter between components, so a bucket is not
-   expanded into all its pairs at once: first every member meets two members of its bucket (in a bucket of
-   three that is every pair), the components are formed, and buckets that still hold several
-   components meet other members, in a new order, as long as that is needed to make the remaining pairs few.
-   All pairs that remain between different components of a bucket are then compared. No candidate
-   pair between different components is left out, whatever the size of its bucket.
+   expanded into all its pairs: first every member meets two members of its bucket (in a bucket of
+   three that is every pair) and the components are formed. Buckets of more that still hold several components
+   go on as groups: overlapping buckets as one group, or each on its own where that makes fewer
+   comparisons. A group is cut into blocks, and every two blocks of it are compared in one task, which
+   holds at most 2 * GROUP_BLOCK members, takes only pairs of different components, prunes and verifies
+   them as above, and returns no more links than join its members. No candidate pair between different
+   components is left out, whatever the size of its bucket.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z in lower case. A text of fewer words than a
 shingle is one shingle; null or wordless text has an empty set and is linked with nothing. Repeated rows of
@@ -35,6 +37,8 @@ from marketmap.llm.components import connected_components
 
 ROWS, BANDS, BATCH, MISS = 5, 40, 40, 1e-7
 HASHES = ROWS * BANDS
+#: Members of a block; two blocks are compared in one task.
+GROUP_BLOCK = 512
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -217,10 +221,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
         F.col("i") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("i")) * percent).select("a", "b")
 
 
-def _close_in_size(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -235,26 +235,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = stored(rows.join(shared, "bucket"), "near-buckets")
     sets = stored(_sets(docs, buckets.select("node").distinct(), words), "near-sets")
 
-    members, found, tested, turn = buckets, None, None, 0
-    labels = None
-    while True:
-        pairs = _meetings(members, turn, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = stored(_verified(pairs, classes, sets, percent), "near-links")
-        found = links if found is None else found.unionByName(links)
-        labels = connected_components(found, "near-labels")
-        members = stored(_unsettled(buckets.filter("size > 3"), labels), "near-members")
-        load = _load(members)
-        if not load["cross"] or load["cross"] <= 4 * load["n"] or links.isEmpty():
-            break
-        turn += 1
-    if load["cross"]:
-        rest = _cross_pairs(members, percent).join(tested, ["a", "b"], "left_anti")
-        links = stored(_verified(rest, classes, sets, percent), "near-links")
-        labels = connected_components(found.unionByName(links), "near-labels")
+    links = stored(_verified(_meetings(buckets, percent), classes, sets, percent), "near-links")
+    labels = connected_components(links, "near-labels")
+    members = stored(_unsettled(buckets.filter("size > 3"), labels), "near-members")
+    more = stored(_group_links(_groups(members), classes, sets, percent), "near-links")
+    labels = connected_components(links.unionByName(more), "near-labels")
     by_class = classes.select("set_key", "node").join(labels, "node", "left") \
         .select("set_key", F.coalesce("component", "node").alias("component"))
     return sketch.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left") \
@@ -262,10 +247,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                 F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
 
 
-def _meetings(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member of a bucket with the bucket's first and last member in an order that changes with
-    every turn: at most two pairs a member. The order is by hash, and the extremes combine before the shuffle."""
-    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n")
+def _meetings(members: DataFrame, percent: int) -> DataFrame:
+    """Each member of a bucket with the bucket's first and last member in an order by hash: at most two
+    pairs a member. The extremes combine before the shuffle."""
+    order = F.struct(F.xxhash64("node").alias("h"), "node", "n")
     ends = members.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"))
     met = members.join(ends, "bucket").select("node", "n", F.explode(F.array("first", "last")).alias("other"))
     return met.filter(F.col("node") != F.col("other.node")).filter(_close_in_size("n", "other.n", percent)) \
@@ -275,23 +260,86 @@ def _meetings(members: DataFrame, turn: int, percent: int) -> DataFrame:
 def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component, with it."""
     now = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
-        .filter("x < y").select("bucket")
-    return now.join(several, "bucket").select("bucket", "node", "n", "component")
-
-
-def _load(members: DataFrame) -> dict:
-    """Rows, and pairs of different components (over all buckets)."""
-    by = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).cast("double").alias("c")) \
-        .groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
-    row = by.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"),
-                 F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0)).alias("cross")).first()
-    return row.asDict()
-
-
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one bucket and different components."""
-    x = members.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))) \
-        .filter(_close_in_size("na", "nb", percent)).select("a", "b").distinct()
+    several = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"),
+                                        F.min("node").alias("first")).filter("x < y").select("bucket", "first")
+    return now.join(several, "bucket").select("bucket", "first", "size", "node", "component")
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """(group, node, component): overlapping buckets as one group, or one by one, whichever compares less."""
+    linked = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")), "near-clusters") \
+        .withColumnRenamed("component", "cluster")
+    rows = members.join(linked, "node")
+    apart = rows.groupBy("cluster", "bucket").agg(F.first("size").cast("double").alias("s")) \
+        .groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("apart"))
+    together = linked.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("g"))
+    choice = apart.join(together, "cluster").select("cluster", (F.col("g") * F.col("g") <= F.col("apart")).alias("as_one"))
+    return rows.join(choice, "cluster").select(
+        F.struct("as_one", F.when(F.col("as_one"), F.col("cluster")).otherwise(F.col("bucket")).alias("id")).alias("group"),
+        "node", "component").distinct()
+
+
+def _group_links(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join the members of each group, block against block."""
+    size = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(size, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+                       "node", "component")
+    least = least_matches(percent)
+
+    def compare(table: pa.Table) -> pa.Table:
+        links = _compare_blocks(table, least, percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    full = rows.join(classes.select("node", "sig"), "node").join(sets, "node")
+    return full.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _compare_blocks(table: pa.Table, least: list[int], percent: int) -> list[tuple[int, int]]:
+    """Verified links between the two blocks of the table (or inside its one), enough to join their members."""
+    table = table.sort_by([("own", "ascending"), ("node", "ascending")]).combine_chunks()
+    node = table.column("node").to_numpy()
+    own = table.column("own").to_numpy()
+    label = {c: c for c in table.column("component").to_pylist()}
+
+    def root(c):
+        while label[c] != c:
+            label[c] = label[label[c]]
+            c = label[c]
+        return c
+
+    component = table.column("component").to_pylist()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+    lists = table.column("shingles").combine_chunks()
+    offset = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    size = np.diff(offset)
+    _, shingle = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    held = np.zeros(int(shingle.max(initial=-1)) + 1, bool)
+    split = int(np.searchsorted(own, own[-1]))  # the second block begins here; 0 if there is one
+    out = []
+    for a in range(split or len(node)):
+        now = np.array([root(c) for c in component])
+        near = np.arange(split or a + 1, len(node))
+        near = near[(now[near] != now[a]) & (np.minimum(size[near], size[a]) * 100 >= np.maximum(size[near], size[a]) * percent)]
+        seen = np.zeros(len(near), np.int64)
+        for k, need in enumerate(least):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            seen += (sig[near, part] == sig[a, part]).sum(axis=1)
+            near, seen = near[seen >= need], seen[seen >= need]
+        if not len(near):
+            continue
+        held[shingle[offset[a]:offset[a + 1]]] = True
+        for b in near.tolist():
+            if root(component[b]) == root(component[a]):
+                continue
+            common = int(held[shingle[offset[b]:offset[b + 1]]].sum())
+            if 100 * common >= percent * (size[a] + size[b] - common):
+                out.append((min(int(node[a]), int(node[b])), max(int(node[a]), int(node[b]))))
+                label[root(component[b])] = root(component[a])
+        held[shingle[offset[a]:offset[a + 1]]] = False
+    return out
+
+
+def _close_in_size(a: str, b: str, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
