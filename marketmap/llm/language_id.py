@@ -77,6 +77,8 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, i
     codes, owner, size = [], [], 0
     for row, text in enumerate(texts):
         c = _codes(text or "")
+        if len(c) > PIECE:
+            c = np.append(np.uint32(0), c)  # the boundary before the first word
         for a in range(0, len(c), PIECE):
             part = c[a:a + PIECE + MAX_N]
             if len(c) > PIECE:

@@ -67,13 +67,13 @@ def test_guess_cost_orders_values():
 
 
 def brute_items(text, items):
-    def grams(t):
+    def grams(t, k):
         w = re.findall(r"[^\W_]+", (t or "").lower())
-        k = min(5, len(w))
+        k = min(k, len(w)) if k == 5 else k
         return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if k else set()
 
-    mine = grams(text)
-    return sorted(i for i, t in items if grams(t) and 10 * len(grams(t) & mine) >= 8 * len(grams(t)))
+    wanted = [(i, grams(t, 5)) for i, t in items]
+    return sorted(i for i, g in wanted if g and 10 * len(g & grams(text, len(next(iter(g))))) >= 8 * len(g))
 
 
 def test_decontamination_equals_brute_force(spark, docs_of, monkeypatch):
