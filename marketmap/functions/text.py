@@ -143,7 +143,7 @@ _ENTITIES = [
 
 # Dropped subtrees and comments, matched in one left-to-right pass (as an
 # HTML tokenizer meets them); an unclosed element runs to the end.
-_DROP_RE = (r"(?is)<(" + "|".join(DROPPED_HTML_TAGS) + r")\b[^>]*>.*?(?:</\1\s*>|\z)"
+_DROP_RE = (r"(?is)<(" + "|".join(DROPPED_HTML_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
             r"|<!--.*?(?:-->|\z)")
 _TAG_RE = r"<(?:/?[A-Za-z][^>]*|[!?][^>]*)>"
 

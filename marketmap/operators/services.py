@@ -101,17 +101,17 @@ def offline_describer(texts: pd.Series) -> pd.Series:
     """Deterministic stand-in for the model: a JSON response per site text.
 
     services = the first two sentences; specialisms = the five most frequent
-    content words. Texts under 200 characters answer INSUFFICIENT_DATA.
+    content words of the whole text. A null or blank text answers INSUFFICIENT_DATA.
     """
     stop = set(TOKEN_STOP_WORDS)
 
     def one(t):
-        if t is None or len(t) < 200:
+        if t is None or not t.strip():
             return INSUFFICIENT_DATA
         sentences = _SENTENCE.split(t.strip())
         words = [w for w in _WORD.findall(t.lower()) if len(w) >= 4 and w not in stop]
         top = [w for w, _ in sorted(Counter(words).items(), key=lambda x: (-x[1], x[0]))[:5]]
-        return json.dumps({"services": " ".join(sentences[:2])[:600], "specialisms": top})
+        return json.dumps({"services": " ".join(sentences[:2]), "specialisms": top})
 
     return texts.map(one)
 

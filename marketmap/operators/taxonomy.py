@@ -305,7 +305,7 @@ def _ranked_terms(assigned: DataFrame, key: str) -> DataFrame:
 
 def discover(descriptions: DataFrame, k: int = EXPECTED_SECTORS, seed: int = 42,
              key: str = "company_number", text: str = "services_description",
-             vocab: int = 1 << 14):
+             vocab: int | None = None):
     """TAX10: a two-level taxonomy from descriptions (TF-IDF + k-means).
 
     Returns ``(flat, model)``. Sector names are the two best terms of a
@@ -321,11 +321,13 @@ def discover(descriptions: DataFrame, k: int = EXPECTED_SECTORS, seed: int = 42,
     # them once (a sample's descriptions, bounded by the sample size).
     d = descriptions.filter(_usable(text)).select(key, term_array(text).alias("terms")) \
         .filter(F.size("terms") > 0).checkpoint(eager=True)
-    # k-means cannot place more centres than distinct points (one-row decision).
-    distinct = d.select(F.array_sort("terms").alias("t")).distinct().count()
-    if distinct < 2:
-        raise ValueError(f"need at least 2 distinct descriptions to cluster, got {distinct}")
-    k = min(k, distinct)
+    # Every term counts: the vocabulary is as large as the exact number of distinct terms
+    # unless the caller sets a size. Too few descriptions for k clusters show up as a
+    # validation error of the taxonomy (TAX4), not as a smaller k.
+    terms = d.select(F.explode("terms").alias("term")).distinct().count()
+    if not terms:
+        raise ValueError("no usable descriptions to cluster")
+    vocab = vocab or terms
     pipe = Pipeline(stages=[
         CountVectorizer(inputCol="terms", outputCol="_tf", vocabSize=vocab, minDF=1.0),
         IDF(inputCol="_tf", outputCol="_tfidf"),

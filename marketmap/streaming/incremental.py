@@ -77,10 +77,11 @@ def incremental_classify(spark: SparkSession, input_dir: str, schema, taxonomy_f
         # scorer: keep it for the duration of this batch only.
         rows = dedupe_first(batch).persist()
         if path_exists(spark, out_table):
-            # Keys of this (bounded) micro-batch already placed by earlier batches:
-            # the results table is scanned against the broadcast batch keys, no shuffle.
+            # Keys of this (bounded) micro-batch already placed by earlier batches only: a
+            # replayed batch must not take its own first attempt for earlier work. The
+            # results table is scanned against the broadcast batch keys, no shuffle.
             keys = checked_broadcast(rows.select("company_number"))
-            done = spark.read.parquet(out_table).select("company_number") \
+            done = spark.read.parquet(out_table).filter(F.col("batch_id") < batch_id).select("company_number") \
                 .join(keys, "company_number", "left_semi").distinct()
             rows = rows.join(done, "company_number", "left_anti")
         out = classify_lexical(rows, taxonomy_flat, terms=terms).select(*RESULT_COLS)
