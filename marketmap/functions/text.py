@@ -143,9 +143,11 @@ _ENTITIES = [
 
 # Dropped subtrees and comments, matched in one left-to-right pass (as an
 # HTML tokenizer meets them); an unclosed element runs to the end.
-_DROP_RE = (r"(?is)<(" + "|".join(DROPPED_HTML_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
+# The rest of a tag: a quoted value after '=' may hold '>'.
+_ATTRS = r"""(?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
+_DROP_RE = (r"(?is)<(" + "|".join(DROPPED_HTML_TAGS) + r")(?=[\s/>])" + _ATTRS + r">.*?(?:</\1\s*>|\z)"
             r"|<!--.*?(?:-->|\z)")
-_TAG_RE = r"<(?:/?[A-Za-z][^>]*|[!?][^>]*)>"
+_TAG_RE = r"<(?:/?[A-Za-z]" + _ATTRS + r"|[!?][^>]*)>"
 
 
 def html_text(c) -> Column:

@@ -24,7 +24,7 @@ from marketmap.operators.partitioning import attach_one_row, checked_broadcast
 from marketmap.operators.sequence import dense_index
 from marketmap.operators.services import json_kind, parse_response
 from marketmap.operators.taxonomy import first_sector_pos, sub_sectors, term_array
-from marketmap.sources.export import py_json_list
+from marketmap.sources.export import py_json_text, py_repr_text
 from marketmap.sources.state import as_state_row
 
 def _no_data(c: str) -> Column:
@@ -175,12 +175,16 @@ def validate_proposals(proposals: DataFrame, flat: DataFrame,
 
 
 def keywords_json(v: Column) -> Column:
-    """CLS7: a list as Python's json.dumps writes it, anything else as str(); missing -> '[]'."""
+    """CLS7: a list as Python's json.dumps writes it, anything else as str(); missing -> '[]'.
+
+    Members may be of any kind. VARIANT holds the keys of an object in
+    alphabetical order and numbers without trailing zeros, so both print so.
+    """
     k = json_kind(v)
     return (F.when(v.isNull(), F.lit("[]"))
-            .when(k == "array", py_json_list(F.variant_get(v, "$", "array<string>")))
-            .when(k == "null", F.lit("None"))
-            .otherwise(F.variant_get(v, "$", "string")))
+            .when(k == "array", py_json_text(F.to_json(v)))
+            .when(k == "string", F.variant_get(v, "$", "string"))
+            .otherwise(py_repr_text(F.to_json(v))))
 
 
 def response_keywords(df: DataFrame, raw: str = "raw", field: str = "specialisms") -> DataFrame:

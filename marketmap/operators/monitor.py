@@ -34,7 +34,6 @@ def sector_rollup(state: DataFrame) -> DataFrame:
         F.count_if(F.col("domain").isNotNull()).alias("n_domain"),
         F.count_if(F.col("services_description").isNotNull()).alias("n_services"),
         F.count_if(F.col("error_log").isNotNull()).alias("n_errored"),
-        F.max("taxonomy_version_id").alias("max_version"),
     )
 
 
@@ -82,9 +81,14 @@ def status_shares(summary: DataFrame) -> DataFrame:
 
 
 def status_report(state: DataFrame, taxonomy_flat: DataFrame | None = None,
-                  limit: int = 20) -> DataFrame:
+                  limit: int = 20, versions: DataFrame | None = None) -> DataFrame:
     """MON9: summary counts, top sectors, shares, latest version and sector total.
 
+    The taxonomy line comes from the version table, not from the classified
+    rows: number (NULL when there is none yet), creation time and trigger of
+    the newest version (``taxonomy_created``, ``taxonomy_trigger``; the text
+    is the item, '?' when it is not recorded).
+
     Long format ``(section, item, n, pct)``. The state is scanned and
     aggregated once (``sector_rollup``: one row per distinct sector value,
     bounded by the taxonomy). Totals and ranks are windows over that tiny
@@ -106,7 +110,6 @@ def status_report(state: DataFrame, taxonomy_flat: DataFrame | None = None,
         F.sum(F.when(sector == UNCLASSIFIED, F.col("n")).otherwise(0)).over(everything)
         .alias("unclassified"),
         F.sum("n_errored").over(everything).alias("errored"),
-        F.max("max_version").over(everything).alias("latest_version"),
         F.row_number().over(ranked).alias("rk"))
     # The rk = 1 row carries the report-level lines; a one-row anchor keeps
     # them present (as zeros) when the state is empty.
@@ -125,7 +128,6 @@ def status_report(state: DataFrame, taxonomy_flat: DataFrame | None = None,
     head = [line("summary", c, F.coalesce(F.col(c), F.lit(0)), none) for c in items]
     head.append(line("share", "unclassified_pct", none,
                      F.when(total0 > 0, F.lit(100.0) * F.col("unclassified") / total0)))
-    head.append(line("taxonomy", "latest_version", F.col("latest_version"), none))
     sector_line = line("sector", sector, F.col("n"), F.lit(100.0) * F.col("n") / F.col("total"))
     is_head = F.coalesce(F.col("rk") == 1, F.lit(False))
     is_top = F.coalesce(sector.isNotNull() & (F.col("rk") <= limit), F.lit(False))
@@ -140,6 +142,18 @@ def status_report(state: DataFrame, taxonomy_flat: DataFrame | None = None,
             taxonomy_flat.agg(F.countDistinct("sector_pos").cast("bigint").alias("n"))
             .select(F.lit("taxonomy").alias("section"), F.lit("sectors").alias("item"), "n",
                     F.lit(None).cast("double").alias("pct")))
+    if versions is not None:
+        newest = versions.agg(
+            F.max("version_id").alias("v"),
+            F.max_by(F.struct(F.substring(F.col("created_at").cast("string"), 1, 19).alias("at"),
+                              "refresh_trigger"), "version_id").alias("of"))
+        lines = F.array(line("taxonomy", "latest_version", F.col("v"), none),
+                        *[line(f"taxonomy_{name}", F.coalesce(c, F.lit("?")), F.col("v"), none)
+                          for name, c in (("created", F.col("of.at")),
+                                          ("trigger", F.col("of.refresh_trigger")))])
+        out = out.unionByName(newest.select(F.explode(
+            F.filter(lines, lambda x: F.col("v").isNotNull() | (x["section"] == "taxonomy")))
+            .alias("l")).select("l.*"))
     return out
 
 
@@ -200,10 +214,11 @@ def spend(calls: DataFrame) -> DataFrame:
 
 
 def run_counters(calls: DataFrame) -> DataFrame:
-    """MON7: companies processed, companies with a found domain, failed calls."""
+    """MON7: companies processed, companies with a guessed or searched domain, failed calls."""
     return calls.agg(
         F.countDistinct("company_id").alias("processed"),
-        F.countDistinct(F.when((F.col("service") == "search") & (F.col("outcome") == "placed"),
+        F.countDistinct(F.when(F.col("service").isin("guess", "search")
+                               & (F.col("outcome") == "placed"),
                                F.col("company_id"))).alias("domains_found"),
         F.count_if(F.col("service") == "failed").alias("errors"),
     )

@@ -39,11 +39,14 @@ def fetched_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:
 def page_texts(pages: DataFrame) -> DataFrame:
     """TXT9 on every fetched page with status 200 and a body, at the scan.
 
-    Extracting before the join means the shuffle carries text, not HTML.
+    Extracting before the join means the shuffle carries text, not HTML. The
+    one-element generator keeps later filters on the text above it; a plain
+    projection would be computed twice, for the filter and for the output.
     """
     ok = pages.filter((F.col("status_code") == 200) & F.col("html").isNotNull()
                       & (F.col("html") != ""))
-    return spread(ok).select("host", "path_ord", html_text("html").alias("text"))
+    return spread(ok).select("host", "path_ord",
+                             F.explode_outer(F.array(html_text("html"))).alias("text"))
 
 
 def good_pages(fetched: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Largest side we broadcast (rows); above it the join is left to the planner.
@@ -23,31 +23,22 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-# Above this many rows entering the final merge, top_k pre-reduces in groups.
-SINGLE_MERGE_MAX_ROWS = 4_000_000
+# Groups whose first rows top_k finds on their own before the final merge.
+TOP_K_GROUPS = 64
 
 
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
     """Exact first ``k`` rows of ``df`` in ``order`` (columns must give a total order).
 
-    ``orderBy().limit(k)`` keeps k rows per partition and merges them in one
-    task: fine for thousands of partitions, too much for 100k. Beyond that,
-    partitions are first grouped (about sqrt(P) groups) and each group keeps
-    its own first k with ``row_number() <= k`` -- a WindowGroupLimit that
-    trims every map task before the shuffle -- so the final merge sees
-    about sqrt(P) * k rows. Any global top-k row is in its group's top-k,
-    so the result is exact.
+    ``orderBy().limit(k)`` alone merges k rows of every partition in one task,
+    too much for 100k partitions. Here partitions fall into a fixed number of
+    groups first and each group keeps its own first k with
+    ``row_number() <= k`` -- a WindowGroupLimit that trims every map task before
+    the shuffle -- so the final merge sees at most TOP_K_GROUPS * k rows. Any
+    global top-k row is in its group's top-k, so the result is exact.
     """
-    from math import ceil, sqrt
-
-    from pyspark.sql import Window
-
-    parts = df.rdd.getNumPartitions()
-    if parts * k <= SINGLE_MERGE_MAX_ROWS:
-        return df.orderBy(*order).limit(k)
-    groups = max(2, ceil(sqrt(parts)))
     w = Window.partitionBy("_g").orderBy(*order)
-    pre = df.withColumn("_g", F.spark_partition_id() % groups) \
+    pre = df.withColumn("_g", F.spark_partition_id() % TOP_K_GROUPS) \
         .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_g", "_r")
     return pre.orderBy(*order).limit(k)
 

@@ -124,6 +124,18 @@ def _keywords(fx):
     return K.response_keywords(fx.view("v_responses"))
 
 
+# What the original prints for each kind of value, written out.
+@register("keywords_json_values", views=["v_keyword_values"], oracle=r"""
+select doc_id as company_number, case doc_id % 7 when 0 then '[1, 2.5, null, true]'
+  when 1 then '["caf\u00e9", "a, b: c", ["x", false], "say \"hi\""]'
+  when 2 then 'True' when 3 then 'None' when 4 then coalesce(source, 'none')
+  when 5 then '{''a'': None, ''b'': [''it'', 3]}'
+  else '["' || coalesce(source, 'none') || '", ' || doc_id || ']' end as keywords_json
+from documents""")
+def _keyword_values(fx):
+    return K.response_keywords(fx.view("v_keyword_values"))
+
+
 @register("carry_over", views=["v_proposals", "v_taxonomy", "v_research"], oracle=VALIDATED_SQL + """
 select lpad(cast(v.company_number as varchar), 8, '0') as company_number, v.sector, v.sub_sector,
   v.confidence, r.domain, cast(null as varchar) as domain_confidence,

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from marketmap.operators import monitor as M
+from marketmap.plans.checks.sources import VERSIONS_SQL, versions
 from marketmap.plans.registry import register
 
 _ROLLUP_SQL = """
 select sector, count(*) as n, count(*) filter (where domain is not null) as n_domain,
   count(*) filter (where services_description is not null) as n_services,
-  count(*) filter (where error_log is not null) as n_errored,
-  max(taxonomy_version_id) as max_version
+  count(*) filter (where error_log is not null) as n_errored
 from v_research group by sector"""
 
 _SUMMARY_SQL = """
@@ -48,7 +48,8 @@ def _status_shares(fx):
 
 
 STATUS_REPORT_SQL = f"""
-, r as ({_ROLLUP_SQL}), s as ({_SUMMARY_SQL})
+, r as ({_ROLLUP_SQL}), s as ({_SUMMARY_SQL}), ver as ({VERSIONS_SQL}),
+newest as (select * from ver order by version_id desc limit 1)
 select 'summary' as section, item, n, cast(null as double) as pct from (
   select 'total' as item, total as n from s union all
   select 'domain_found', domain_found from s union all
@@ -63,14 +64,18 @@ union all
 select 'share', 'unclassified_pct', cast(null as bigint),
   case when total > 0 then cast(100.0 as double) * unclassified / total end from s
 union all
-select 'taxonomy', 'latest_version', cast(max(max_version) as bigint), cast(null as double) from r
+select 'taxonomy', 'latest_version', cast(max(version_id) as bigint), cast(null as double) from ver
+union all
+select 'taxonomy_created', coalesce(substr(cast(created_at as varchar), 1, 19), '?'), cast(version_id as bigint), cast(null as double) from newest
+union all
+select 'taxonomy_trigger', coalesce(refresh_trigger, '?'), cast(version_id as bigint), cast(null as double) from newest
 union all
 select 'taxonomy', 'sectors', cast(count(distinct sector_pos) as bigint), cast(null as double)
 from v_taxonomy"""
 
 
 def status_report_query(fx):
-    return M.status_report(fx.view("v_research"), fx.view("v_taxonomy"), 20)
+    return M.status_report(fx.view("v_research"), fx.view("v_taxonomy"), 20, versions(fx))
 
 
 register("status_report", views=["v_research", "v_taxonomy"],
@@ -118,7 +123,7 @@ def _spend(fx):
 
 @register("run_counters", views=["v_calls"], oracle="""
 select count(distinct company_id) as processed,
-  count(distinct case when service = 'search' and outcome = 'placed' then company_id end) as domains_found,
+  count(distinct case when service in ('guess', 'search') and outcome = 'placed' then company_id end) as domains_found,
   count(*) filter (where service = 'failed') as errors
 from v_calls""")
 def _run_counters(fx):

@@ -128,7 +128,7 @@ def _resume(fx):
 EXPORT_SQL = f"""
 , st as ({RESEARCH_STATE_SQL})
 select company_number, company_name, postcode, domain, domain_confidence, domain_method,
-  services_description, cast(null as varchar) as specialisms, sector, sub_sector,
+  services_description, case when domain is not null then '["caf\\u00e9", "' || domain || '", "a\\\\b \\"c\\""]' end as specialisms, sector, sub_sector,
   classification_confidence, rationale, cast(null as varchar) as keywords, taxonomy_version_id,
   processed_at, error_log
 from st order by company_name, company_number"""
@@ -136,7 +136,9 @@ from st order by company_name, company_number"""
 
 @register("export_rows", views=["v_research"], oracle=EXPORT_SQL)
 def _export(fx):
-    return X.export_rows(fx.view("v_research"))
+    lists = F.when(F.col("domain").isNotNull(),
+                   F.array(F.lit("café"), F.col("domain"), F.lit('a\\b "c"')))
+    return X.export_rows(fx.view("v_research").withColumn("specialisms", lists))
 
 
 # ---- taxonomy versions (derived from the versions seen in the state) ----

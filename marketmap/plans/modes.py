@@ -212,24 +212,29 @@ def classify(store: ResearchStore, companies: DataFrame, probes: DataFrame, hits
              pages: DataFrame, describer=None, limit: int | None = None,
              window: int = REFRESH_WINDOW, threshold: float = REFRESH_UNCLASSIFIED_THRESHOLD,
              every: int = REFRESH_EVERY, auto_refresh: bool = True) -> dict:
-    """Place every pending company against the newest taxonomy, then check the trigger."""
+    """Place every pending company against the newest taxonomy, then check the trigger.
+
+    The scheduled trigger counts the rows of this run; a run with nothing
+    pending writes nothing and triggers nothing.
+    """
     version = store.latest_version()
     if version is None:
         raise RuntimeError("No taxonomy version yet: run discover first.")
     flat = store.taxonomy(version)
     state = store.current()
     todo = K.pending(companies, state, limit)
+    processed = todo.count()
+    if not processed:
+        return {"version": version, "processed": 0, "trigger": None, "refresh": None}
     needs = K.needs_services(todo, state).filter("needs_services")
     store.append(run_stages(state, needs, probes, hits, pages, describer))
     state = store.current()
     rows = state.join(todo.select("company_number"), "company_number", "left_semi")
     store.append(_classification_patch(K.reclassify(rows, flat), state, version))
-    state = store.current()
-    since = state.filter(F.col("taxonomy_version_id") == version) \
-        .agg(F.count(F.lit(1)).alias("rows_since_refresh"))
-    trig = M.refresh_trigger(M.rolling_unclassified(state, window), since, every, window,
-                             threshold).first()
-    out = {"version": version, "trigger": trig["trigger"], "refresh": None}
+    trig = M.refresh_trigger(M.rolling_unclassified(store.current(), window), processed, every,
+                             window, threshold).first()
+    out = {"version": version, "processed": processed, "trigger": trig["trigger"],
+           "refresh": None}
     if trig["trigger"] and auto_refresh:
         out["refresh"] = refresh(store, trigger=trig["trigger"])
     return out
@@ -281,7 +286,8 @@ def refresh(store: ResearchStore, trigger: str = "manual", force: bool = False,
 
 def status(store: ResearchStore) -> DataFrame:
     v = store.latest_version()
-    return M.status_report(store.current(), store.taxonomy(v) if v is not None else None)
+    return M.status_report(store.current(), store.taxonomy(v) if v is not None else None,
+                           versions=store.versions_df())
 
 
 def history(store: ResearchStore) -> DataFrame:

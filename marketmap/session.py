@@ -7,6 +7,7 @@ create one of our own when the session leaves it unset (local runs, tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,9 +51,12 @@ def _configured_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; create a local one only if unset."""
+    """Use the cluster's checkpoint folder; create a local one only if unset and the
+    master is local (its executors share the driver's disk)."""
     d = _configured_dir(spark)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="marketmap-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -145,8 +145,9 @@ def drift_last_w(spark: SparkSession, input_dir: str, schema, out_table: str, ch
     """STR2: unclassified rate over the last ``window`` completed rows (by
     processed_at, then company_number), per ``key`` or overall.
 
-    Each micro-batch unions its completed rows with the previous snapshot
-    and keeps the newest ``window`` per key. ``row_number() <= window`` is
+    Each micro-batch unions its completed rows with the previous snapshot,
+    keeps the newest row of each company (a reclassified company counts
+    once, as in the state) and then the newest ``window`` per key. ``row_number() <= window`` is
     planned as a WindowGroupLimit, so even a single hot key is trimmed to
     ``window`` rows per task before its shuffle. Exact whatever the arrival
     order; each snapshot is its own overwrite partition (replay-safe).
@@ -161,6 +162,9 @@ def drift_last_w(spark: SparkSession, input_dir: str, schema, out_table: str, ch
         prev = _previous_batch(spark, out_table, batch_id)
         if prev is not None:
             rows = rows.unionByName(spark.read.parquet(_batch_path(out_table, prev)))
+        newest = Window.partitionBy("key", "company_number") \
+            .orderBy(F.col("processed_at").desc_nulls_last(), F.col("unclassified"))
+        rows = rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
         w = Window.partitionBy("key").orderBy(*order)
         rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= window) \
             .drop("_r").write.mode("overwrite").parquet(_batch_path(out_table, batch_id))
