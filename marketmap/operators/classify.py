@@ -20,9 +20,10 @@ from marketmap.constants import (
     NO_SERVICES_RATIONALE,
     UNCLASSIFIED,
 )
+from marketmap.functions.text import json_kind
 from marketmap.operators.partitioning import attach_one_row, checked_broadcast
 from marketmap.operators.sequence import dense_index
-from marketmap.operators.services import json_kind, parse_response
+from marketmap.operators.services import parse_response
 from marketmap.operators.taxonomy import first_sector_pos, sub_sectors, term_array
 from marketmap.sources.export import py_json_text, py_repr_text
 from marketmap.sources.state import as_state_row

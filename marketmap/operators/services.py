@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketmap.constants import ERROR_SEPARATOR, INSUFFICIENT_DATA, TOKEN_STOP_WORDS
-from marketmap.functions.text import strip_fences, variant_kind
+from marketmap.functions.text import json_kind, strip_fences
 
 
 def parse_response(raw) -> Column:
@@ -26,15 +26,6 @@ def parse_response(raw) -> Column:
     return F.try_parse_json(strip_fences(raw))
 
 
-def json_kind(v) -> Column:
-    """Kind of a VARIANT value: object, array, string, number, boolean, null (or NULL)."""
-    k = variant_kind(v)
-    return (F.when(k == "OBJECT", "object").when(k == "ARRAY", "array")
-            .when(k == "STRING", "string").when(k == "BOOLEAN", "boolean")
-            .when(k == "VOID", "null").when(k.isNull(), F.lit(None).cast("string"))
-            .otherwise("number"))
-
-
 def extract_services(df: DataFrame, raw: str = "raw") -> DataFrame:
     """SVC3-4: typed ``services`` / ``specialisms`` and a ``status``.
 

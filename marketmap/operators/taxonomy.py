@@ -20,6 +20,7 @@ from marketmap.constants import (
     TOKEN_STOP_WORDS,
     UNCLASSIFIED,
 )
+from marketmap.functions.text import json_kind
 from marketmap.operators.partitioning import attach_one_row, checked_broadcast
 from marketmap.operators.sequence import dense_index
 
@@ -80,8 +81,8 @@ def validate(flat: DataFrame, expected: int = EXPECTED_SECTORS,
     Rules: sector count; a sector needs a name (else its other rules are
     skipped); banned substrings (one error per word); duplicate sector name
     (each later one); more than ``max_subs`` sub-sectors; sub-sector without a
-    name; duplicate sub-sector within a sector. Shape rules (not a list /
-    not an object) belong to the JSON reader: a typed document cannot break them.
+    name; duplicate sub-sector within a sector. A typed document cannot break
+    the shape rules (not a list, not an object); ``validate_json`` has them.
     """
     sectors = flat.select("sector_pos", "sector").dropDuplicates(["sector_pos"])
     has_name = F.col("sector").isNotNull() & (F.col("sector") != "")
@@ -139,6 +140,64 @@ def validate_document(doc: DataFrame, expected: int = EXPECTED_SECTORS,
     return shape.unionByName(count_err).unionByName(rules)
 
 
+def validate_json(doc: DataFrame, text: str = "taxonomy_json", expected: int = EXPECTED_SECTORS,
+                  max_subs: int = MAX_SUB_SECTORS) -> DataFrame:
+    """TAX4 on one raw JSON document: shape rules and the rules of ``validate``.
+
+    The text is read as VARIANT, so a wrong kind anywhere is reported instead
+    of turning into NULL: ``sectors`` missing or not a list (then the only
+    error), a sector or sub-sector that is not an object, a sector name that
+    is not a string, ``sub_sectors`` that is not a list (a missing key is an
+    empty list). Text that is not JSON has no ``sectors``.
+    """
+    def get(v, path, kind="variant"):
+        return F.try_variant_get(v, path, kind)
+
+    v = F.try_parse_json(F.col(text))
+    is_list = (json_kind(get(v, "$.sectors")) == "array").eqNullSafe(True)
+    lists = doc.select(F.when(is_list, get(v, "$.sectors", "array<variant>")).alias("_s"))
+    shape = lists.filter(F.col("_s").isNull()).select(*_err(
+        F.lit(None), F.lit(None), F.lit("'sectors' key missing or not a list")))
+    count_err = lists.filter(F.size("_s") != expected).select(*_err(
+        F.lit(None), F.lit(None), F.format_string(
+            "expected exactly %d sectors, got %d", F.lit(expected), F.size("_s"))))
+    e = lists.filter(F.col("_s").isNotNull()) \
+        .select(F.posexplode("_s").alias("sector_pos", "_e")) \
+        .withColumn("_dict", (json_kind(F.col("_e")) == "object").eqNullSafe(True))
+    not_dict = e.filter(~F.col("_dict")).select(*_err(F.col("sector_pos"), F.lit(None), F.format_string(
+        "sector[%d] is not a dict", F.col("sector_pos"))))
+    name, subs = get(F.col("_e"), "$.name"), get(F.col("_e"), "$.sub_sectors")
+    d = e.filter("_dict").select(
+        "sector_pos",
+        F.when(json_kind(name) == "string", get(F.col("_e"), "$.name", "string")).alias("sector"),
+        json_kind(subs).alias("_kind"),
+        F.when(json_kind(subs) == "array", get(F.col("_e"), "$.sub_sectors", "array<variant>")).alias("_u"))
+    no_list = d.filter((F.col("sector") != "") & (F.col("_kind") != "array")).select(*_err(
+        F.col("sector_pos"), F.lit(None), F.format_string("sector '%s' sub_sectors is not a list",
+                                                          F.col("sector"))))
+    sub = F.col("_sub")
+    sub_name = get(sub, "$.name")
+    # Names of another kind count when Python takes them as true.
+    named = (json_kind(sub_name) == "string") | ~F.to_json(sub_name).isin(
+        "null", "false", "0", "0.0", "[]", "{}")
+    flat = d.select("sector_pos", "sector", F.posexplode_outer("_u").alias("sub_pos", "_sub")).select(
+        F.col("sector_pos").cast("int").alias("sector_pos"), "sector",
+        F.col("sub_pos").cast("int").alias("sub_pos"),
+        F.when(named, get(sub, "$.name", "string")).alias("sub_sector"),
+        (F.col("sub_pos").isNotNull() & ~(json_kind(sub) == "object").eqNullSafe(True)).alias("_odd"))
+    odd = flat.filter("_odd").select("sector_pos", "sub_pos", F.col("sector").alias("_sector"))
+    # An odd entry has no name, so the only error the rules give it is the missing name.
+    rules = validate(flat.drop("_odd"), expected, max_subs, count_rule=False) \
+        .join(odd, ["sector_pos", "sub_pos"], "left") \
+        .select("sector_pos", "sub_pos", F.when(F.col("_sector").isNotNull(), F.format_string(
+            "sector '%s' sub_sector[%d] not a dict", F.col("_sector"), F.col("sub_pos")))
+            .otherwise(F.col("error")).alias("error"))
+    out = shape
+    for p in (count_err, not_dict, no_list, rules):
+        out = out.unionByName(p)
+    return out
+
+
 # ---- TAX5-6 ----
 
 def diff(old_flat: DataFrame, new_flat: DataFrame) -> DataFrame:

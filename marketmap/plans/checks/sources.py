@@ -171,7 +171,11 @@ def _history(fx):
     return TS.history(versions(fx))
 
 
-@register("taxonomy_version_append", views=["v_taxonomy", "v_research"])
+@register("taxonomy_version_append", views=["v_taxonomy", "v_research"], oracle="""
+, e as (select cast(count(*) as int) as n from v_research where sampled_for_discovery = 1
+  and services_description is not null and services_description <> 'INSUFFICIENT_DATA')
+select cast(1 as int) as version_id, n as company_count_used, 'initial' as refresh_trigger, '' as notes from e
+union all select cast(2 as int), n, 'manual', 'refresh from v1' from e""")
 def _append(fx):
     """SRC10: two appends (initial, then a refresh) into a fresh version folder."""
     spark = fx.spark

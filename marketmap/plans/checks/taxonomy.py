@@ -91,6 +91,28 @@ def _errors_valid(fx):
     return T.validate(fx.view("v_taxonomy"), expected=5)
 
 
+SHAPES_SQL = """
+, s as (select cast(row_number() over (order by p_partkey) - 1 as int) as i, p_partkey as k, p_partkey % 6 as m
+  from v_shape_elements)
+select cast(null as int) as sector_pos, cast(null as int) as sub_pos,
+  printf('expected exactly 20 sectors, got %d', count(*)) as error from s having count(*) <> 20
+union all select i, null, printf('sector[%d] is not a dict', i) from s where m = 0
+union all select i, null, printf('sector[%d] has no name', i) from s where m = 1
+union all select i, null, printf('sector ''Field %d'' sub_sectors is not a list', k) from s where m in (2, 5)
+union all select i, cast(0 as int), printf('sector ''Field %d'' sub_sector[0] not a dict', k) from s where m = 3
+union all select i, cast(2 as int), printf('sector ''Field %d'' sub_sector[2] has no name', k) from s where m = 3
+union all select i, cast(3 as int), printf('duplicate sub-sector ''A'' in sector ''Field %d''', k) from s where m = 3
+union all select i, null, printf('sector ''Other %d'' contains banned word ''other''', k) from s where m = 4"""
+
+
+@register("taxonomy_shape_errors", views=["v_shape_elements"], oracle=SHAPES_SQL)
+def _shape_errors(fx):
+    doc = fx.view("v_shape_elements").agg(F.concat(F.lit('{"sectors": ['), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "element"))), lambda x: x["element"]), ", "),
+        F.lit("]}")).alias("taxonomy_json"))
+    return T.validate_json(doc)
+
+
 @register("taxonomy_diff", views=["v_taxonomy", "v_taxonomy_new"], oracle="""
 , o as (select distinct sector from v_taxonomy where sector is not null),
 n as (select distinct sector from v_taxonomy_new where sector is not null)
@@ -243,7 +265,21 @@ def _gap_terms(fx):
     return T.gap_terms(fx.view("v_research"), fx.view("v_taxonomy"), 3)
 
 
-@register("taxonomy_refresh", views=["v_research", "v_taxonomy"])
+GAP_CTES, GAP_SELECT = GAP_SQL.rsplit("\nselect c.term,", 1)
+
+
+@register("taxonomy_refresh", views=["v_research", "v_taxonomy"], oracle=f"""{GAP_CTES},
+g as (select c.term,{GAP_SELECT}),
+have as (select sector_pos, count(sub_pos) as n, max(sub_pos) as last from v_taxonomy group by sector_pos),
+fresh as (select g.sector_pos, g.sector, g.term, row_number() over (partition by g.sector_pos order by g.support desc, g.term) as r
+  from g where strpos(lower(g.sector), g.term) = 0 and not exists (select 1 from v_taxonomy t
+    where t.sector_pos = g.sector_pos and lower(t.sub_sector) = g.term))
+select sector_pos, sector, cast(null as varchar) as sector_description, sub_pos, sub_sector,
+  cast(null as varchar) as sub_description, false as added from v_taxonomy
+union all
+select f.sector_pos, f.sector, null, cast(coalesce(h.last, -1) + f.r as int),
+  upper(f.term[1]) || f.term[2:], null, true
+from fresh f join have h on h.sector_pos = f.sector_pos where f.r <= 20 - h.n""")
 def _refresh(fx):
     new_flat, log = T.refresh_by_gap(fx.view("v_research"), fx.view("v_taxonomy"), 3)
     return new_flat
