@@ -98,11 +98,10 @@ def test_stream_equals_batch(spark):
     assert ok, msg
 
 
-def test_top_k_grouped_path_is_exact(spark, monkeypatch):
+def test_top_k_grouped_path_is_exact(spark):
     from marketmap.operators import partitioning as PT
     df = spark.range(0, 20000, numPartitions=64).withColumn("h", F.md5(F.col("id").cast("string")))
     want = [r["id"] for r in df.orderBy("h", "id").limit(150).collect()]
-    monkeypatch.setattr(PT, "SINGLE_MERGE_MAX_ROWS", 10)
     got = [r["id"] for r in PT.top_k(df, [F.col("h"), F.col("id")], 150).collect()]
     assert sorted(got) == sorted(want)
     assert len(got) == 150

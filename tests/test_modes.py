@@ -56,8 +56,10 @@ def test_end_to_end(spark):
 
     # Nothing pending any more: a rerun classifies nothing new.
     before = state.count()
-    modes.classify(store, companies, probes, hits, pages, auto_refresh=False)
-    assert store.current().count() == before
+    batches = set(os.listdir(store.patches))
+    idle = modes.classify(store, companies, probes, hits, pages, auto_refresh=False, every=1)
+    assert idle["processed"] == 0 and idle["trigger"] is None
+    assert store.current().count() == before and set(os.listdir(store.patches)) == batches
 
     r = modes.refresh(store, trigger="manual", expected=5)
     assert r["accepted"], r
@@ -75,4 +77,5 @@ def test_end_to_end(spark):
     assert modes.export(store, path) == n
     assert spark.read.option("header", True).csv(path).count() == n
 
-    assert modes.retry_failed(store, probes, hits, pages) >= 0
+    failed = store.current().filter("error_log is not null").count()
+    assert modes.retry_failed(store, probes, hits, pages) == failed
