@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from marketmap.llm import near_dedup
+from marketmap.llm import components, near_dedup
 from tests.llm.conftest import ODD
 
 
@@ -76,3 +76,11 @@ def test_words_split_at_ascii_space_in_long_texts():
 def test_pruning_keeps_pairs_at_the_threshold():
     least = near_dedup.least_matches(80)
     assert least == sorted(least) and all(m < 0.8 * n for m, n in zip(least, range(40, 201, 40)))
+
+
+def test_components_of_chains_cycles_and_lone_nodes(spark):
+    links = [(i + 1, i) for i in range(10, 90)] + [(200, 201), (201, 202), (202, 200), (200, 201), (300, 300)]
+    random.Random(7).shuffle(links)
+    found = components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted(map(tuple, found)) == [*((i, 10) for i in range(10, 91)), (200, 200), (201, 200), (202, 200), (300, 300)]
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
