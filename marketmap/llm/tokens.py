@@ -3,7 +3,8 @@
 Both vocabularies split a text before their merges, and a single space between two non-space characters
 is always such a split; so ids of a text are the ids of its words (each with the space before it, where the
 vocabulary keeps spaces) one after the other. Distinct words go through the tokenizers library once and
-are then found in a dictionary. A line with any other white space is encoded as a whole.
+are then found in a dictionary. A line with any other white space is encoded as a whole, and so is a text that
+holds an added token of the file ("<|endoftext|>"), which is one id as the library has it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task on each core already
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = keeps_space
         # Between words of one call: a sign that is a word, and one id, of its own.
         self.between = "\n" if keeps_space else " | "
@@ -58,15 +59,20 @@ class Encoder:
         self.known.update((w, self.older[w]) for w in kept)
         new -= kept
         sign = self.between.strip(" ")
-        alone = [w for w in new if sign in w or not w or (self.keeps_space and w[0] != " ")]
+        alone = [w for w in new if sign in w or not w or (self.keeps_space and w[0] != " ") or self._marked(w)]
         new = list(new.difference(alone))
         for a in range(0, len(new), 500):
             self.known.update(zip(new[a:a + 500], self._encode(new[a:a + 500])))
         if alone:
             self.known.update(zip(alone, self._one_by_one(alone)))
 
+    def _marked(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _split(self, text: str) -> list[str]:
         """Parts whose ids are those of the text, one after the other."""
+        if self._marked(text):
+            return [text]
         if not self.keeps_space:
             # White space is dropped: words can be cut at any of it.
             return text.replace("\n", " ").split(" ")

@@ -28,6 +28,26 @@ def test_cached_encoder_equals_the_library(name, space, monkeypatch):
     assert got == [x.tobytes() for x in ids_of(name, texts, [])]
 
 
+@pytest.mark.parametrize("name,space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_are_the_librarys(name, space):
+    t = Tokenizer.from_file(tokenizer_path(name))
+    texts = TRICKY + ["a <|endoftext|> b", "x<|endoftext|>y", " <|endoftext|>", " a <|endoftext|>\n b  ", "<|startoftext|>",
+                      "<|ENDOFTEXT|> A", "<|endoftext|><|endoftext|>", "a <| endoftext |> b"]
+    got = list(Encoder(tokenizer_path(name), space).encode(texts))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_documents_with_added_tokens(docs_of):
+    rows = [(1, "a <|endoftext|> b"), (2, "next words"), (3, "<|startoftext|>x")]
+    for name, end, out in (
+            ("word_bpe_49k.json", 1, lambda d, p: packing.pack(d, p).groupBy("doc_id").agg({"doc_tokens": "max"})),
+            ("byte_bpe_50k.json", 1, lambda d, p: token_binary.round_trip(d, p).select("doc_id", "n_tokens"))):
+        t = Tokenizer.from_file(tokenizer_path(name))
+        want = {i: len(t.encode(x, add_special_tokens=False).ids) + end for i, x in rows}
+        assert {r[0]: r[1] for r in out(docs_of(rows), tokenizer_path(name)).collect()} == want
+
+
 def test_packing(docs_of):
     texts = [t for _, t in ODD] + ["lorem ipsum dolor " * n for n in range(0, 900, 7)]
     rows = list(enumerate(texts))
