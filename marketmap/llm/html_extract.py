@@ -7,7 +7,10 @@ share of its text that is in links and shifted by its element and by words in it
 container is kept, with siblings that score near it and sibling paragraphs that are long and have few links.
 
 Boilerplate are navigation, page headers and footers, sidebars, notices, adverts, forms, reader comments, scripts,
-styles, hidden elements (by element, role, or words in class and id).
+styles, hidden elements (by element, role, or words in class and id). Words alone do not drop an element that has
+article words beside them (unless its text is mostly links), holds the main element, the longest article or an h1, or
+holds most of the page's running text (beside an article or main element with text: five blocks and four fifths of it
+at least, and not reader comments): a layout wrapper is often named after what stands beside the article.
 
 In the kept part every block is one line of output: character references decoded, white space
 turned into one space, trimmed; empty blocks go; blocks are joined in page order by two newlines.
@@ -44,6 +47,7 @@ BOILERPLATE = frozenset(
     "breadcrumb breadcrumbs sidebar aside widget widgets footer foot header masthead share sharing social related "
     "recommended recommendations comment comments disqus reply replies respond login search toolbar pagination pager "
     "skip copyright".split())
+READERS = frozenset("comment comments disqus reply replies respond".split())
 ARTICLE = frozenset("article post entry story content main body text".split())
 ELEMENT_POINTS = {"article": 10, "main": 10, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3,
                   "dl": -3, "li": -3, "form": -3, "address": -3}
@@ -58,11 +62,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "points", "chars", "linked", "blocks", "named")
+    __slots__ = ("tag", "parent", "drop", "points", "chars", "linked", "blocks", "named", "bad", "prose", "runs", "core")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, named: float):
-        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: float, bad: frozenset = frozenset()):
+        self.tag, self.parent, self.drop, self.named, self.bad = tag, parent, drop, named, bad
         self.points, self.chars, self.linked, self.blocks = None, 0, 0, []
+        self.prose, self.runs, self.core = 0, 0, False
 
 
 def _in_article(node: Node | None) -> bool:
@@ -77,25 +82,26 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)}
 
 
-def _judge(tag: str, raw: str, parent: Node | None) -> tuple[bool, float]:
-    """(boilerplate, points for class and id) of an element."""
+def _judge(tag: str, raw: str, parent: Node | None) -> tuple[bool, float, frozenset]:
+    """(boilerplate, points for class and id, boilerplate words in them) of an element."""
     if tag in DROPPED or tag == "header" and not _in_article(parent):
-        return True, 0.0
+        return True, 0.0, frozenset()
     if not raw.strip():
-        return False, 0.0
+        return False, 0.0, frozenset()
     attrs = _attributes(raw)
     style = attrs.get("style", "").replace(" ", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True, 0.0
+        return True, 0.0, frozenset()
     if attrs.get("role", "").lower() in ROLES:
-        return True, 0.0
-    if tag in ("html", "body", "article", "main"):
-        return False, 0.0
+        return True, 0.0, frozenset()
     named = {t.lower() for t in _TOKEN.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    bad, good = named & BOILERPLATE, named & ARTICLE
-    if bad and not (good and bad <= {"header", "banner"}) and not (bad <= {"header"} and _in_article(parent)):
-        return True, 0.0
-    return False, 25.0 if good else 0.0
+    bad, good = frozenset(named & BOILERPLATE), named & ARTICLE
+    if tag in ("html", "body", "article", "main"):
+        return False, 0.0, bad
+    if good and bad <= {"header", "banner"} or bad <= {"header"} and _in_article(parent):
+        bad = frozenset()
+    # Article words and boilerplate words outweigh each other.
+    return False, 25.0 if good and not bad else -25.0 if bad and not good else 0.0, bad
 
 
 class _Page:
@@ -105,8 +111,50 @@ class _Page:
         self.root = Node("html", None, False, 0.0)
         self.blocks: list[tuple[str, int, Node]] = []
         self.stack, self.inline, self.links = [self.root], [], 0
+        self.nodes: list[Node] = []
+        self.by_name = False  # the inline elements that hide text do so by their names alone
         self.run: list[tuple[str, bool]] = []
         self._read(html)
+        self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Drop the elements that are boilerplate by their names, and their blocks."""
+        suspects = [n for n in self.nodes if n.bad and n.tag not in ("html", "body", "article", "main") and not n.drop]
+        if not suspects:
+            return
+        for text, linked, owner in self.blocks:
+            node: Node | None = owner
+            while node is not None:
+                node.chars += len(text)
+                node.linked += linked
+                if len(text) >= SHORT_BLOCK:
+                    node.prose += len(text) - linked
+                    node.runs += 2 * linked < len(text)
+                node = node.parent
+        articles = [n for n in self.nodes if n.tag == "article" and not n.drop and not n.bad and n.chars > n.linked]
+        cores = [n for n in self.nodes if n.tag in ("main", "h1") and not n.drop]
+        if articles:
+            cores.append(max(articles, key=lambda n: n.prose))
+        for core in cores:
+            node = core
+            while node is not None and not node.core:
+                node.core = True
+                node = node.parent
+        has_article = any(n.tag in ("article", "main") and n.chars > n.linked for n in cores)
+        for n in suspects:
+            most = 2 * n.prose > self.root.prose
+            if has_article:
+                most = 5 * n.prose >= 4 * self.root.prose and n.runs >= 5 and not n.bad & READERS
+            if n.core or most:
+                n.named = max(n.named, 0.0)
+            elif n.named < 0 or 2 * n.linked > n.chars:
+                n.drop = True
+        # Parents come before their children.
+        for n in self.nodes:
+            n.drop = n.drop or n.parent.drop
+        self.blocks = [b for b in self.blocks if not b[2].drop]
+        for n in [self.root, *self.nodes]:
+            n.chars = n.linked = 0
 
     def _end_block(self) -> None:
         if self.run:
@@ -133,8 +181,11 @@ class _Page:
                         if self.stack[i].tag in walls:
                             break
             parent = self.stack[-1]
-            drop, named = _judge(tag, raw, parent)
-            self.stack.append(Node(tag, parent, drop or parent.drop, named))
+            if tag in ("article", "main", "h1") and self.by_name:
+                self.inline.clear()  # an inline element around the article is a wrapper
+            drop, named, bad = _judge(tag, raw, parent)
+            self.stack.append(Node(tag, parent, drop or parent.drop, named, bad))
+            self.nodes.append(self.stack[-1])
 
     def _close(self, tag: str) -> None:
         self._end_block()
@@ -184,7 +235,12 @@ class _Page:
 
     def _inline_start(self, tag: str, raw: str) -> None:
         """A hidden or boilerplate inline element hides its text."""
-        if self.inline or _judge(tag, raw, self.stack[-1])[0]:
+        drop, named, _ = _judge(tag, raw, self.stack[-1])
+        if not self.inline:
+            self.by_name = not drop
+        elif drop:
+            self.by_name = False
+        if self.inline or drop or named < 0:
             self.inline.append(tag)
 
     def _inline_end(self, tag: str) -> None:

@@ -29,6 +29,26 @@ def test_main_text(markup, want):
     assert html_extract.main_text(markup) == want
 
 
+ARTICLE = f"<article><h1>Head</h1><p>{WORDS}</p></article>"
+TEXT = f"Head\n\n{WORDS.strip()}"
+
+
+@pytest.mark.parametrize("markup,want", [
+    (page(f"<div class='content-sidebar-wrap'>{ARTICLE}<div class=sidebar><p>{WORDS}</p></div></div>"), TEXT),
+    (page(f"<div class='main has-sidebar'><h1>Head</h1><p>{WORDS}</p></div>"), TEXT),
+    (page(f"<div class='content no-comments'><p>{WORDS}</p></div><div class=comments><p>{WORDS}</p></div>"), WORDS.strip()),
+    (page(f"<div id='page-with-banner-ads'>{ARTICLE}</div>"), TEXT),
+    (page(f"<div id='page-with-banner-ads'><p>{WORDS}</p><p>{WORDS}</p></div><div class=ad>{WORDS}</div>"),
+     f"{WORDS.strip()}\n\n{WORDS.strip()}"),
+    (page("<article><p>Short one.</p></article><div class=promo><p>" + WORDS + "</p></div>"), "Short one."),
+    (page(f"<app-root class=has-sidebar>{ARTICLE}</app-root>"), TEXT),
+    (page(f"{ARTICLE}<div id=comments><article class=comment-body><p>{WORDS * 5}</p></article></div>"), TEXT),
+    (page(f"{ARTICLE}<div class=post-navigation><a href=x>{WORDS}</a></div><div hidden class=content>{WORDS}</div>"), TEXT),
+])
+def test_wrappers_named_after_boilerplate(markup, want):
+    assert html_extract.main_text(markup) == want
+
+
 def test_hostile_markup_ends():
     for markup in ("<div " * 20000, "<" * 50000, "<p title=\"" * 20000, "<!--" * 5000, "<a href='x" * 20000, "</p>" * 20000):
         assert isinstance(html_extract.main_text(markup), str)
