@@ -4,7 +4,9 @@ A tolerant parser builds the element tree. Each text block (a paragraph, heading
 that stands bare in a container) outside boilerplate gives its container points for being there, for its
 commas and for its length; the container's container gets half. A container's points are discounted by the
 share of its text that is in links and shifted by its element and by words in its class and id. The best
-container is kept, with siblings that score near it and sibling paragraphs that are long and have few links.
+container is widened to the article or main element around it, and then to each parent (the body aside) most of whose
+text is kept already; all of it is kept, with siblings that score near it and, beside it, headings, paragraphs,
+quotes, lists, tables and sections with few links.
 
 Boilerplate are navigation, page headers and footers, sidebars, notices, adverts, forms, reader comments, scripts,
 styles, hidden elements (by element, role, or words in class and id). Words alone do not drop an element that has
@@ -51,7 +53,9 @@ READERS = frozenset("comment comments disqus reply replies respond".split())
 ARTICLE = frozenset("article post entry story content main body text".split())
 ELEMENT_POINTS = {"article": 10, "main": 10, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3,
                   "dl": -3, "li": -3, "form": -3, "address": -3}
-SHORT_BLOCK, SIBLING_SHARE = 25, 0.2
+# What is kept beside the best container, if it has few links.
+BESIDE = frozenset("p pre h1 h2 h3 h4 h5 h6 blockquote ul ol dl table section figure".split())
+SHORT_BLOCK, SIBLING_SHARE, FEW_LINKS, KEPT_SHARE = 25, 0.2, 0.25, 2 / 3
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -282,21 +286,41 @@ def main_blocks(html: str | None) -> list[str]:
     score = {k: n.points * (1 - _density(n)) for k, n in containers.items()}
     if not score:
         return _fallback(page)
-    best_key = max(score, key=lambda k: score[k])  # the first in page order among equals
-    best = containers[best_key]
-    kept = {best_key}
-    bar = max(10.0, score[best_key] * SIBLING_SHARE)
-    for k, n in containers.items():
-        if best.parent is not None and n.parent is best.parent and score[k] >= bar:
-            kept.add(k)
+    best = containers[max(score, key=lambda k: score[k])]  # the first in page order among equals
+    bar = max(10.0, score[id(best)] * SIBLING_SHARE)
+    root, node = best, best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            root = node
+            break
+        node = node.parent
+
+    def is_kept(child: Node) -> bool:
+        """Of the children of the root's parent."""
+        return (child is root or id(child) in score and score[id(child)] >= bar
+                or child.tag in BESIDE and child.linked < FEW_LINKS * child.chars)
+
+    # Children of each element that have text, and the text that stands bare in it.
+    children: dict[int, dict[int, Node]] = {}
+    for _, _, owner in page.blocks:
+        node = owner
+        while node.parent is not None and id(node) not in children.setdefault(id(node.parent), {}):
+            children[id(node.parent)][id(node)] = node
+            node = node.parent
+    while root.parent is not None and root.parent.tag not in ("html", "body"):
+        kept = sum(c.chars - c.linked for c in children[id(root.parent)].values() if is_kept(c))
+        if kept < KEPT_SHARE * (root.parent.chars - root.parent.linked):
+            break
+        root = root.parent
+    kept_ids = {id(root)}
+    if root.parent is not None:
+        kept_ids |= {k for k, c in children[id(root.parent)].items() if is_kept(c)}
     out = []
-    for text, linked, owner in page.blocks:
-        node, inside = owner, False
-        while node is not None and not inside:
-            inside = id(node) in kept
+    for text, _, owner in page.blocks:
+        node = owner
+        while node is not None and id(node) not in kept_ids:
             node = node.parent
-        beside = owner.tag == "p" and best.parent is not None and owner.parent is best.parent
-        if inside or beside and len(text) > 80 and linked < 0.25 * len(text):
+        if node is not None:
             out.append(text)
     return out
 

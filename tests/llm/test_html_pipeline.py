@@ -49,6 +49,26 @@ def test_wrappers_named_after_boilerplate(markup, want):
     assert html_extract.main_text(markup) == want
 
 
+PARAGRAPHS = f"<p>{WORDS}</p>" * 5
+FIVE = "\n\n".join([WORDS.strip()] * 5)
+
+
+@pytest.mark.parametrize("markup,want", [
+    (page(f"<article><h1>Title</h1><p>Short lead.</p><div class='body'>{PARAGRAPHS}</div></article>"), f"Title\n\nShort lead.\n\n{FIVE}"),
+    (page(f"<article><section><h2>A</h2>{PARAGRAPHS}</section><h2>B</h2><section><p>Few words.</p></section></article><div>menu</div>"),
+     f"A\n\n{FIVE}\n\nB\n\nFew words."),
+    (page(f"<h1>Title</h1><p>Short lead.</p><section>{PARAGRAPHS}</section><h2>B</h2><section><p>Few words.</p></section>"
+          "<ul><li>One</li></ul><pre>x = 1</pre><ul><li><a href=x>Link one</a></li></ul><div>menu</div>"),
+     f"Title\n\nShort lead.\n\n{FIVE}\n\nB\n\nFew words.\n\nOne\n\nx = 1"),
+    (page(f"<main><h1>Title</h1><article>{PARAGRAPHS}</article></main>"), f"Title\n\n{FIVE}"),
+    (page(f"<div id=page><div><h1>Title</h1></div><div class=story>{PARAGRAPHS}</div><table><tr><td>1<td>2</table></div><div>menu</div>"),
+     f"Title\n\n{FIVE}\n\n1\n\n2"),
+    (page(f"<article>{PARAGRAPHS}<div class=related><p>{WORDS}</p></div><nav><h2>More</h2></nav></article>"), FIVE),
+])
+def test_whole_article_is_kept(markup, want):
+    assert html_extract.main_text(markup) == want
+
+
 def test_hostile_markup_ends():
     for markup in ("<div " * 20000, "<" * 50000, "<p title=\"" * 20000, "<!--" * 5000, "<a href='x" * 20000, "</p>" * 20000):
         assert isinstance(html_extract.main_text(markup), str)
