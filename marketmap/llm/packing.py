@@ -6,12 +6,14 @@ Each tier is packed: windows of the longest tier take one long rest, largest fir
 filled from the shorter tiers (the largest piece that fits, again and again; the last place by a cut of
 a shorter piece); what is left in the shorter tiers fills windows of their own length, cut at the
 border. At the end of a partition the remainder goes to windows of falling powers of two, so no
-window needs padding. Windows of one tier form step groups of STEP_TOKENS tokens each (8 windows of 2048, or
-16 of 1024 ...), so every step of a tier carries the same work; the last group of a tier may be short.
+window needs padding. Windows of one tier, over all partitions, form step groups of STEP_TOKENS tokens each (8
+windows of 2048, or 16 of 1024 ...), so every step of a tier carries the same work; only the last group of a tier may
+be short.
 
-Packing runs in each scan partition on its own, with a buffer of bounded size, so nothing is shuffled; a
+Packing runs in each scan partition on its own, with a buffer of bounded size, so no text or ids are shuffled; a
 retried task sees the same rows and gives the same windows. ``sequence_id`` holds the partition in its
-high bits.
+high bits. The windows are written once to the shared folder; counts per partition and tier (a few numbers each) become
+broadcast offsets that number the windows of a tier over all partitions.
 
 Edge cases: null text counts as empty, an empty document is its end id alone; documents longer than any
 window are cut and none is dropped; repeated rows are packed one by one; an empty table gives an empty
@@ -27,8 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from marketmap.llm.common import stored
 from marketmap.llm.tokens import Encoder
 
 TIERS = (2048, 1024, 512, 256)
@@ -86,7 +90,8 @@ class Shelf:
 
 
 class Packer:
-    """Packs the pieces of one partition; ``out`` collects (piece, sequence, offset, tier, step group)."""
+    """Packs the pieces of one partition; ``out`` collects (piece, sequence, offset, tier, number of the window
+    in its tier)."""
 
     def __init__(self, base: int):
         self.base, self.next = base, 0
@@ -109,11 +114,11 @@ class Packer:
 
     def _close(self, pieces: list[Piece], tier: int) -> None:
         sequence, offset = self.base + self.next, 0
-        step = self.filled.get(tier, 0) * tier // STEP_TOKENS
+        number = self.filled.get(tier, 0)
         self.next += 1
-        self.filled[tier] = self.filled.get(tier, 0) + 1
+        self.filled[tier] = number + 1
         for p in pieces:
-            self.out.append((p, sequence, offset, tier, step))
+            self.out.append((p, sequence, offset, tier, number))
             offset += len(p)
 
     def pack(self, last: bool = False) -> None:
@@ -222,4 +227,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, with_ids: bool =
         packer.pack(last=True)
         yield rows(packer.out)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return _grouped(stored(found, "windows"))
+
+
+def _grouped(windows: DataFrame) -> DataFrame:
+    """Windows of all partitions, numbered in each tier (``step_group`` holds their number in the partition), in step
+    groups."""
+    part = F.shiftright("sequence_id", 36)
+    before = Window.partitionBy("tier").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = windows.groupBy(part.alias("_part"), "tier").agg((F.max("step_group") + 1).alias("_n")) \
+        .select("_part", F.col("tier").alias("_tier"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    step = F.floor((F.col("_first") + F.col("step_group")) * F.col("tier") / STEP_TOKENS)
+    return windows.join(F.broadcast(offsets), (part == F.col("_part")) & (F.col("tier") == F.col("_tier"))) \
+        .withColumn("step_group", step.cast("long")).select(windows.columns)

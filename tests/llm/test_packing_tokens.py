@@ -79,6 +79,23 @@ def test_packing(docs_of):
     assert packing.pack(docs_of([]), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_step_groups_span_partitions(docs_of):
+    rows = [(i, "lorem ipsum dolor " * (5 + i * 37 % 900)) for i in range(150)]
+    docs = docs_of(rows).repartition(5)
+    out = packing.pack(docs, tokenizer_path("word_bpe_49k.json")).collect()
+    assert len({r["sequence_id"] >> 36 for r in out}) == 5
+    windows = {(r["sequence_id"], r["tier"], r["step_group"]) for r in out}
+    assert len(windows) == len({s for s, _, _ in windows})
+    sizes = defaultdict(lambda: defaultdict(int))
+    for _, tier, step in windows:
+        sizes[tier][step] += tier
+    assert len(sizes[2048]) > 5
+    for tier, by_step in sizes.items():
+        assert sorted(by_step) == list(range(len(by_step)))
+        full = [by_step[k] for k in range(len(by_step) - 1)]
+        assert set(full) <= {packing.STEP_TOKENS} and by_step[len(by_step) - 1] <= packing.STEP_TOKENS
+
+
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
     blocks = [rng.zipf(1.3, n).clip(0, 50256).astype(np.uint32) for n in (500, 0, 1, 64, 700)]
