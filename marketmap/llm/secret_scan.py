@@ -27,10 +27,22 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # [0-9a-f]+ of 24 characters or more: a leftmost match is a whole run, so the length can stand in the pattern.
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(
-    r"""\b(password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"""
-    r"""|client[_-]?secret|credentials?|login|auth|bearer)\b["']?(?:\x20*(?:=>|[:=])|\x20+is\b)\x20*"""
-    r"""(?:bearer\x20+|basic\x20+)?["'`]?([^\s"'`,;<>()]{6,})""", re.IGNORECASE | re.ASCII)
+# A name and its sign; the value is read from there.
+NAMED = re.compile(
+    r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["'`]?(?:\x20*(?:=>|[:=])|\x20+is\b)\x20*(?:(?:bearer|basic)\x20+)?""",
+    re.IGNORECASE | re.ASCII)
+# A credential word in a name, set off by _, -, a digit or a camel-case border (AWS_SECRET_ACCESS_KEY, userPass, db_pass2).
+CREDENTIAL = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+    r"(?i:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"
+    r"|client[_-]?secret|credentials?|login|auth|authorization|bearer)(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))", re.ASCII)
+# A quoted value runs to its closing quote. A bare one runs to white space or a quote; signs that close the text
+# around it, a tag, a call's arguments and the next name of a list are not part of it.
+QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\\\r\n]|\\[^\r\n])*+)\1(?![A-Za-z0-9])""", re.ASCII)
+BARE = re.compile(r"""["'`]?([A-Za-z_][A-Za-z0-9_.]*+(?=\()|(?:(?![,;&][A-Za-z_][A-Za-z0-9_-]*+["'`]?[:=]|</?[A-Za-z][A-Za-z0-9]*+[\s/>]|<!--)[^\s"'`])*+)""",
+                  re.ASCII)
+NAME = re.compile(r"([A-Za-z0-9_-]++)[:=]", re.ASCII)
+CLOSING, SHORTEST = ",;.)>]}", 6
 
 # Common password words by rank, and keyboard rows.
 WORDS = (
@@ -121,9 +133,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def credential_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values that stand in a credential context; they do not overlap."""
+    done = 0
+    for m in NAMED.finditer(text):
+        if m.start() < done or not CREDENTIAL.search(m[1]):
+            continue
+        if value := QUOTED.match(text, m.end()):
+            start, end = value.span(2)
+        else:
+            value = BARE.match(text, m.end())
+            start = value.start(1)
+            end = start + len(value[1].rstrip(CLOSING))
+            if (name := NAME.fullmatch(text, start, end)) and CREDENTIAL.search(name[1]):
+                continue  # "login: password: ..."
+        done = end
+        if end - start >= SHORTEST:
+            yield start, end
+
+
 def guess_spans(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int, int]]:
     """(start, kind, end) of values in a credential context that take at least ``min_bits`` to guess."""
-    return [(m.start(2), 3, m.end(2)) for m in CONTEXT.finditer(text) if guess_bits(m[2]) >= min_bits]
+    return [(a, 3, b) for a, b in credential_values(text) if guess_bits(text[a:b]) >= min_bits]
 
 
 def _joined(spans) -> str:

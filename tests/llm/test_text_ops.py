@@ -58,6 +58,26 @@ def test_secrets(docs_of):
     assert secret_scan.scan_secrets(docs_of([])).count() == 0
 
 
+HARD = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ"
+
+
+@pytest.mark.parametrize("text,value", [
+    *((f"{name}{sign}{HARD}", HARD) for name, sign in (
+        ("AWS_SECRET_ACCESS_KEY", "="), ("aws_secret_access_key", ": "), ("DB_PWD", "="), ("db_pass", " = "), ("app_passphrase", "="),
+        ("userPass", "="), ("DBPass", "="), ("db-pass2", ": "), ("Authorization", ": Bearer "), ("user=x&authToken", "="))),
+    ("pwd: aB,9#kQ;z(W8)v<R2!mX more", "aB,9#kQ;z(W8)v<R2!mX"), ("pwd: 'aB,9 #kQ;z(W8) v<R2', user", "aB,9 #kQ;z(W8) v<R2"),
+    (f"{{password:{HARD},user:someone}}", HARD), (f"<p>token: {HARD}</p><p>x", HARD), (f"(pass={HARD}).", HARD),
+    (f"login: password: {HARD}", HARD), ("compass: " + HARD, None), ("tokenizer=" + HARD, None), ("pwd: password123", None),
+])
+def test_credential_names_and_whole_values(text, value):
+    assert [text[a:b] for a, _, b in secret_scan.guess_spans(text)] == ([value] if value else [])
+
+
+def test_long_names_and_values_end():
+    for text in ("pass_" * 20000 + "=x", "pass=" * 20000, "pass='" * 20000, "pass=a," * 20000, "pass=<" * 20000, "a" * 200000):
+        assert isinstance(secret_scan.guess_spans(text), list)
+
+
 def test_guess_cost_orders_values():
     cost = secret_scan.guess_bits
     assert cost("") == 0
