@@ -161,9 +161,29 @@ def validate_json(doc: DataFrame, text: str = "taxonomy_json", expected: int = E
     count_err = lists.filter(F.size("_s") != expected).select(*_err(
         F.lit(None), F.lit(None), F.format_string(
             "expected exactly %d sectors, got %d", F.lit(expected), F.size("_s"))))
-    e = lists.filter(F.col("_s").isNotNull()) \
-        .select(F.posexplode("_s").alias("sector_pos", "_e")) \
-        .withColumn("_dict", (json_kind(F.col("_e")) == "object").eqNullSafe(True))
+    e = lists.filter(F.col("_s").isNotNull()).select(F.posexplode("_s").alias("sector_pos", "_e"))
+    return shape.unionByName(count_err).unionByName(_element_errors(e, expected, max_subs))
+
+
+def validate_elements(elements: DataFrame, pos: str = "sector_pos", text: str = "element",
+                      expected: int = EXPECTED_SECTORS, max_subs: int = MAX_SUB_SECTORS) -> DataFrame:
+    """The rules of ``validate_json`` where the ``sectors`` list comes as a row for each element.
+
+    ``pos`` is the element's place in the list, ``text`` its JSON (no JSON: not
+    an object). No task holds the list, so it may be of any length.
+    """
+    count_err = elements.agg(F.count(F.lit(1)).cast("int").alias("_n")).filter(F.col("_n") != expected).select(*_err(
+        F.lit(None), F.lit(None), F.format_string("expected exactly %d sectors, got %d", F.lit(expected), F.col("_n"))))
+    e = elements.select(F.col(pos).cast("int").alias("sector_pos"), F.try_parse_json(F.col(text)).alias("_e"))
+    return count_err.unionByName(_element_errors(e, expected, max_subs))
+
+
+def _element_errors(e: DataFrame, expected: int, max_subs: int) -> DataFrame:
+    """Shape rules and name rules of elements (sector_pos, _e)."""
+    def get(v, path, kind="variant"):
+        return F.try_variant_get(v, path, kind)
+
+    e = e.withColumn("_dict", (json_kind(F.col("_e")) == "object").eqNullSafe(True))
     not_dict = e.filter(~F.col("_dict")).select(*_err(F.col("sector_pos"), F.lit(None), F.format_string(
         "sector[%d] is not a dict", F.col("sector_pos"))))
     name, subs = get(F.col("_e"), "$.name"), get(F.col("_e"), "$.sub_sectors")
@@ -192,10 +212,7 @@ def validate_json(doc: DataFrame, text: str = "taxonomy_json", expected: int = E
         .select("sector_pos", "sub_pos", F.when(F.col("_sector").isNotNull(), F.format_string(
             "sector '%s' sub_sector[%d] not a dict", F.col("_sector"), F.col("sub_pos")))
             .otherwise(F.col("error")).alias("error"))
-    out = shape
-    for p in (count_err, not_dict, no_list, rules):
-        out = out.unionByName(p)
-    return out
+    return not_dict.unionByName(no_list).unionByName(rules)
 
 
 # ---- TAX5-6 ----

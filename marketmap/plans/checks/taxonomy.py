@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marketmap.constants import BANNED_WORDS, TOKEN_STOP_WORDS
 from marketmap.operators import taxonomy as T
+from marketmap.operators.sequence import dense_index
 from marketmap.operators.services import eligible_services
 from marketmap.plans.registry import register
 from marketmap.sources import taxonomy_store as TS
@@ -107,10 +108,8 @@ union all select i, null, printf('sector ''Other %d'' contains banned word ''oth
 
 @register("taxonomy_shape_errors", views=["v_shape_elements"], oracle=SHAPES_SQL)
 def _shape_errors(fx):
-    doc = fx.view("v_shape_elements").agg(F.concat(F.lit('{"sectors": ['), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("p_partkey", "element"))), lambda x: x["element"]), ", "),
-        F.lit("]}")).alias("taxonomy_json"))
-    return T.validate_json(doc)
+    elements = dense_index(fx.view("v_shape_elements"), ["p_partkey"])
+    return T.validate_elements(elements.withColumn("sector_pos", F.col("seq") - 1))
 
 
 @register("taxonomy_diff", views=["v_taxonomy", "v_taxonomy_new"], oracle="""

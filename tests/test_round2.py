@@ -83,3 +83,13 @@ def test_page_text_is_computed_once(spark):
 def test_top_k_over_many_partitions(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(150)
     assert [r["v"] for r in top_k(df, [F.col("v")], 7).collect()] == list(range(7))
+
+
+def test_sector_elements_are_not_gathered(spark):
+    elements = ["5", '{"name": 5}', '{"name": "A", "sub_sectors": "none"}', '{"name": "A"}', '{"name": "B", "sub_sectors": ["s", {}]}']
+    rows = spark.createDataFrame(list(enumerate(elements)), "sector_pos long, element string")
+    text = spark.createDataFrame([('{"sectors": [' + ", ".join(elements) + "]}",)], "taxonomy_json string")
+    want = sorted(map(str, T.validate_json(text, expected=4).collect()))
+    assert sorted(map(str, T.validate_elements(rows, expected=4).collect())) == want and len(want) > 5
+    plan = QUERIES["taxonomy_shape_errors"](spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
