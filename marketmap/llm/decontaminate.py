@@ -97,7 +97,8 @@ class Index:
             self.threshold[k] = 1 - np.sort(impact)[::-1][:missing].sum() - 1e-9
             order = np.argsort(d, kind="stable")
             left = 1 - np.cumsum(impact[order])
-            need = int(np.argmax(left < self.threshold[k] / 2)) + 1
+            # Without a positive threshold any word may be missing, so all are essential.
+            need = int(np.argmax(left < self.threshold[k] / 2)) + 1 if self.threshold[k] > 0 else len(order)
             rest[k] = left[need - 1]
             essential += [(int(t[j]), k // BLOCK, float(impact[j])) for j in order[:need]]
         self.blocks = -(-n // BLOCK)

@@ -1,6 +1,7 @@
 """Licence scan, secrets, toxicity, language and decontamination on small fixtures."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -123,6 +124,20 @@ def test_decontamination_equals_brute_force(spark, docs_of, monkeypatch):
     assert decontaminate.contaminated_rows(docs_of([]), bench).count() == 0
 
 
+def test_long_item_over_few_words_without_its_rarest():
+    rng = random.Random(5)
+    w = [rng.choice("ant bee cat dog eel fox gnu hen".split()) for _ in range(400)]
+    w[200] = "zebra"
+    # Alone with unrelated items in its block; the item after them makes its other words less rare than "zebra".
+    items = [(1, " ".join(w)), *((i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(2, 9)),
+             (9, "ant bee cat dog eel fox gnu hen " * 2)]
+    index = decontaminate.Index(items)
+    assert index.threshold[0] <= 0
+    text = " ".join(w).replace("zebra", "changed")
+    found = index.search([index.encode(text), index.encode("other words")])
+    assert [[i for i, *_ in f] for f in found] == [brute_items(text, items), []] and 1 in [i for i, *_ in found[0]]
+
+
 def test_language(spark):
     df = language_id.identify(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).toPandas()
     true = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "lang").toPandas()
