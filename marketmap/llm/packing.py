@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketmap.llm.common import stored
-from marketmap.llm.tokens import Encoder
+from marketmap.llm.tokens import worker_encoder
 
 TIERS = (2048, 1024, 512, 256)
 WINDOW = TIERS[0]
@@ -197,9 +197,10 @@ class Packer:
             self._close(run, tier)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group,
-    and the ids themselves on request. ``tokenizer``: path of a file whose vocabulary drops white space."""
+    and the ids themselves on request. ``tokenizer``: path of a file whose vocabulary drops white space, or a function that
+    finds it on the worker."""
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(found) -> pa.RecordBatch:
@@ -215,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, with_ids: bool =
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, keeps_space=False)
+        encoder = worker_encoder(tokenizer, keeps_space=False)
         packer = Packer(TaskContext.get().partitionId() << 36)
         for batch in batches:
             texts = ((t or "") for t in batch.column("text").to_pylist())

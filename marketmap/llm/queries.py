@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marketmap.llm import (decontaminate, exact_dedup, html_extract, language_id, license_scan, near_dedup, packing,
@@ -10,6 +12,7 @@ from marketmap.llm.common import table
 
 
 def tokenizer_path(name: str) -> str:
+    """Where this machine has the file; called on the workers."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,7 +27,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_binary.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_binary.round_trip(table(spark, sf_dir, "documents"), partial(tokenizer_path, "byte_bpe_50k.json"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), partial(tokenizer_path, "word_bpe_49k.json"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

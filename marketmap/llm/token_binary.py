@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketmap.llm.common import scratch
-from marketmap.llm.tokens import Encoder
+from marketmap.llm.tokens import worker_encoder
 
 BLOCK_IDS, LANES, SLOT_BITS = 4096, 1536, 10
 SLOTS = 1 << SLOT_BITS
@@ -209,11 +209,11 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str | Callable[[], str], end_id: int = END_ID) -> None:
     """Write the ids of all documents, in ascending doc_id order, as block files under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer, keeps_space=True), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer, keeps_space=True), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         buffer, held, table = [], 0, []      # ids of the block that is being filled, its documents
         full: list[tuple[np.ndarray, list]] = []
@@ -351,7 +351,7 @@ def document_digests(runs: DataFrame) -> DataFrame:
         join, "part int, doc_id long, position long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | Callable[[], str], path: str | None = None) -> DataFrame:
     """Write the files, read them back: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
     spark = docs.sparkSession
     path = path or scratch(spark, "ids")

@@ -10,7 +10,8 @@ holds an added token of the file ("<|endoftext|>"), which is one id as the libra
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -108,6 +109,17 @@ class Encoder:
             yield b"".join(map(get, words))
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str, keeps_space: bool) -> Encoder:
+    return Encoder(path, keeps_space)
+
+
+def worker_encoder(tokenizer: str | Callable[[], str], keeps_space: bool) -> Encoder:
+    """The encoder of this worker process, kept with its known words from task to task. ``tokenizer``: path of the
+    file, or a function that finds it on this machine."""
+    return _kept(tokenizer() if callable(tokenizer) else tokenizer, keeps_space)
+
+
 def _plain(line: str) -> bool:
     """No white space in the line but single spaces."""
     return len(line.split()) == line.count(" ") + 1

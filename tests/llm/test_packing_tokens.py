@@ -16,7 +16,6 @@ TRICKY = ["", " ", "  a  b", "a\n\nb", "a \n b", "it's\tok  x", "nb sp  x", "
 
 def ids_of(name, texts, end):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [np.array(e.ids + end, "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
