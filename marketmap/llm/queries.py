@@ -6,8 +6,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketmap.llm import (decontaminate, exact_dedup, html_extract, language_id, license_scan, near_dedup, packing,
-                           secret_scan, token_binary, toxicity)
+from marketmap.llm import (centroid_clustering, decontaminate, exact_dedup, html_extract, language_id, license_scan,
+                           near_dedup, packing, periodic_runs, repetition, secret_scan, token_binary, toxicity)
 from marketmap.llm.common import table
 
 
@@ -58,6 +58,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_by_repetition(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_token_binary, op4_decontaminate, op5_license_scan, op6_toxicity,
-                                   op7_html_extract, op8_packing, op9_near_dedup, op10_secret_scan)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql()}
+                                   op7_html_extract, op8_packing, op9_near_dedup, op10_secret_scan,
+                                   op11_centroid_clustering, op12_quality_rules, op13_periodic_runs)}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql(),
+           "op11_centroid_clustering": centroid_clustering.oracle_sql(), "op12_quality_rules": repetition.ORACLE_SQL}
