@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from marketmap.plans import modes
 from marketmap.plans.checks.classify import LEXICAL_SQL
 from marketmap.plans.registry import register
 from marketmap.streaming import incremental as S
@@ -64,3 +65,28 @@ def _last_w(fx):
     run, src, schema = _stage(fx, "v_research", "lastw", 10, "company_number")
     return S.drift_last_w(fx.spark, src, schema, os.path.join(run, "lastw"),
                           os.path.join(run, "ckpt"), window=1000)
+
+
+CHUNK, LAST_W = 500, 1000
+
+
+@register("classify_run", views=["v_lex_companies", "v_lex_taxonomy"], oracle=f"""
+, placed as (with {LEXICAL_SQL.lstrip().removeprefix(",")}),
+numbered as (select sector, row_number() over (order by cast(company_number as bigint)) - 1 as i from placed),
+steps as (select cast(i // {CHUNK} as int) as chunk_no, count(*) as processed,
+  count(*) filter (where sector = 'UNCLASSIFIED') as u from numbered group by 1),
+rolling as (select chunk_no, processed, cast(sum(u) over w as bigint) as unclassified,
+  cast(sum(processed) over w as bigint) as total,
+  cast(sum(processed) over (order by chunk_no) as bigint) as rows_since_refresh
+  from steps window w as (order by chunk_no rows between {LAST_W // CHUNK - 1} preceding and current row))
+select *, case when rows_since_refresh >= 10000 then 'scheduled'
+  when total >= {LAST_W} and unclassified / cast(total as double) > 0.05 then 'unclassified_threshold' end as trigger
+from rolling""")
+def _classify_run(fx):
+    """STR1, CLS9, MON2: chunks of pending rows placed on the patch log, the trigger after each (no refresh here)."""
+    store = modes.ResearchStore(fx.spark, S.new_run_dir(fx.spark, "rollout"))
+    store.save_taxonomy(fx.view("v_lex_taxonomy"), "initial", 0)
+    run = modes.rollout(store, "check", window=LAST_W, auto_refresh=False)
+    rows = fx.view("v_lex_companies").withColumn("input_seq", F.col("company_number").cast("bigint"))
+    return run.run(run.queue(rows, CHUNK)).select(
+        "chunk_no", "processed", "unclassified", "total", "rows_since_refresh", "trigger")

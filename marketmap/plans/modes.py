@@ -15,11 +15,13 @@ latest version, did the gate pass, did the trigger fire).
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketmap.constants import (
+    CHECKPOINT_EVERY,
     EXPECTED_SECTORS,
     INSUFFICIENT_DATA,
     REFRESH_EVERY,
@@ -39,10 +41,12 @@ from marketmap.operators import sampling as SM
 from marketmap.operators import services as V
 from marketmap.operators import taxonomy as T
 from marketmap.operators.partitioning import attach_one_row
+from marketmap.operators.model import Model
 from marketmap.session import list_dirs, path_exists, state_root
 from marketmap.sources import export as X
 from marketmap.sources import state as S
 from marketmap.sources import taxonomy_store as TS
+from marketmap.streaming.rollout import CALLS, Rollout
 
 
 CLASSIFICATION_COLUMNS = ["sector", "sub_sector", "classification_confidence", "rationale",
@@ -57,6 +61,7 @@ class ResearchStore:
         self.root = root or state_root(spark, "marketmap")
         self.patches = os.path.join(self.root, "patches")
         self.versions = os.path.join(self.root, "versions")
+        self.calls_path = os.path.join(self.root, "calls")
 
     # -- patch log --
     def _next_batch(self) -> int:
@@ -66,12 +71,19 @@ class ResearchStore:
 
     def append(self, rows: DataFrame, kind: str = S.FULL, stamp: bool = True) -> int:
         """Write ``rows`` as one patch batch (overwrite of its own partition)."""
-        b = self._next_batch()
+        return self.append_at(rows, self._next_batch(), kind, stamp)
+
+    def append_at(self, rows: DataFrame, b: int, kind: str = S.FULL, stamp: bool = True) -> int:
+        """Write ``rows`` as patch batch ``b``; written again, it replaces itself."""
         patches = S.make_patches(rows, b, kind, stamp=stamp) if kind == S.FULL \
             else S.flag_patches(rows, b)
         patches.write.mode("overwrite").parquet(os.path.join(self.patches, f"batch_id={b}"))
         return b
 
+    def batch(self, b: int) -> DataFrame:
+        """The rows of patch batch ``b``."""
+        return self.spark.read.parquet(os.path.join(self.patches, f"batch_id={b}"))
+
     def _base(self) -> int:
         """First batch of the live log (the last compaction), 0 when never compacted."""
         marker = os.path.join(self.root, "_base")
@@ -79,13 +91,16 @@ class ResearchStore:
             return 0
         return self.spark.read.json(marker).agg(F.max("base")).first()[0]
 
-    def current(self) -> DataFrame:
+    def current(self, before: int | None = None) -> DataFrame:
+        """The newest row of each company, as of the patches below ``before`` when given."""
         if not path_exists(self.spark, self.patches):
             return S.as_state_row(self.spark.createDataFrame([], "company_number string"))
         log = self.spark.read.parquet(self.patches)
         base = self._base()
         if base:
             log = log.filter(F.col("batch_id") >= base)  # partition pruning
+        if before is not None:
+            log = log.filter(F.col("batch_id") < before)
         return S.latest(log.drop("batch_id"))
 
     def compact(self) -> int:
@@ -102,6 +117,12 @@ class ResearchStore:
             .json(os.path.join(self.root, "_base"))
         return b
 
+    def calls(self) -> DataFrame:
+        """MON6-8: the lines that runs with a model have logged."""
+        if not path_exists(self.spark, self.calls_path):
+            return self.spark.createDataFrame([], CALLS)
+        return self.spark.read.schema(CALLS).parquet(os.path.join(self.calls_path, "*"))
+
     # -- taxonomy versions --
     def versions_df(self) -> DataFrame:
         return TS.read_versions(self.spark, self.versions)
@@ -181,6 +202,7 @@ def _classification_patch(classified: DataFrame, state: DataFrame, version: int)
     cls = classified.select(
         "company_number", "sector", "sub_sector",
         F.col("confidence").alias("classification_confidence"), "rationale", "keywords",
+        *(["error_log"] if "error_log" in classified.columns else []),
         F.lit(version).cast("int").alias("taxonomy_version_id"))
     keep = S.as_state_row(state).select("company_number", "company_name", "postcode")
     return K.carry_over(cls, state).join(keep, "company_number")
@@ -208,48 +230,103 @@ def discover(store: ResearchStore, companies: DataFrame, probes: DataFrame, hits
                                notes=f"validation_errors={n_errors}" if n_errors else "")
 
 
+def rollout(store: ResearchStore, run_id: str, model: Model | None = None, window: int = REFRESH_WINDOW,
+            threshold: float = REFRESH_UNCLASSIFIED_THRESHOLD, every: int = REFRESH_EVERY,
+            auto_refresh: bool = True, expected: int = EXPECTED_SECTORS) -> Rollout:
+    """The steps of a classify run over ``store`` (streaming/rollout.py)."""
+
+    def again(trigger: str, tag: str, cleared: int, placed: int) -> dict:
+        return refresh(store, trigger=trigger, expected=expected, tag=tag, batches=(cleared, placed))
+
+    return Rollout(store, run_id, _classification_patch, again if auto_refresh else None, model, window, threshold, every)
+
+
 def classify(store: ResearchStore, companies: DataFrame, probes: DataFrame, hits: DataFrame,
              pages: DataFrame, describer=None, limit: int | None = None,
              window: int = REFRESH_WINDOW, threshold: float = REFRESH_UNCLASSIFIED_THRESHOLD,
-             every: int = REFRESH_EVERY, auto_refresh: bool = True) -> dict:
-    """Place every pending company against the newest taxonomy, then check the trigger.
-
-    The scheduled trigger counts the rows of this run; a run with nothing
-    pending writes nothing and triggers nothing.
+             every: int = REFRESH_EVERY, auto_refresh: bool = True, model: Model | None = None,
+             chunk: int = CHECKPOINT_EVERY, run_id: str | None = None,
+             expected: int = EXPECTED_SECTORS) -> dict:
+    """Place every pending company, chunk after chunk, each by the newest taxonomy.
+
+    The stages do not depend on the taxonomy, so they run for all pending rows in one job first.
+    After each chunk the trigger is checked; the scheduled one counts the rows of this run since its
+    last refresh. A run with nothing pending writes nothing and triggers nothing. A run that was
+    interrupted goes on under its ``run_id``. A larger ``chunk`` suits a larger cluster.
     """
     version = store.latest_version()
     if version is None:
         raise RuntimeError("No taxonomy version yet: run discover first.")
-    flat = store.taxonomy(version)
-    state = store.current()
-    todo = K.pending(companies, state, limit)
-    processed = todo.count()
-    if not processed:
-        return {"version": version, "processed": 0, "trigger": None, "refresh": None}
-    needs = K.needs_services(todo, state).filter("needs_services")
-    store.append(run_stages(state, needs, probes, hits, pages, describer))
-    state = store.current()
-    rows = state.join(todo.select("company_number"), "company_number", "left_semi")
-    store.append(_classification_patch(K.reclassify(rows, flat), state, version))
-    trig = M.refresh_trigger(M.rolling_unclassified(store.current(), window), processed, every,
-                             window, threshold).first()
-    out = {"version": version, "processed": processed, "trigger": trig["trigger"],
-           "refresh": None}
-    if trig["trigger"] and auto_refresh:
-        out["refresh"] = refresh(store, trigger=trig["trigger"])
+    run_id = run_id or uuid.uuid4().hex
+    started = path_exists(store.spark, os.path.join(store.root, "runs", run_id, "queue", "_SUCCESS"))
+    if not started:
+        state = store.current()
+        todo = K.pending(companies, state, limit)
+        if todo.isEmpty():
+            return {"version": version, "processed": 0, "trigger": None, "refresh": None, "chunks": 0, "refreshes": []}
+        needs = K.needs_services(todo, state).filter("needs_services")
+        store.append(run_stages(state, needs, probes, hits, pages, describer))
+        rows = S.as_state_row(store.current()).join(todo.select("company_number", "input_seq"), "company_number")
+    run = rollout(store, run_id, model, window, threshold, every, auto_refresh, expected)
+    chunks = run.queue(None if started else rows, chunk)
+    steps = run.run(chunks).orderBy("chunk_no").collect()
+    fired = [r for r in steps if r["trigger"]]
+    last = fired[-1] if fired else None
+    made = [r["new_version_id"] for r in steps if r["new_version_id"]]
+    out = {"run_id": run_id, "version": steps[0]["version_id"], "processed": sum(r["processed"] for r in steps),
+           "trigger": last["trigger"] if last else None, "refresh": None, "chunks": len(steps), "refreshes": made}
+    if last is not None and auto_refresh:
+        out["refresh"] = {"accepted": last["new_version_id"] is not None, "new_version_id": last["new_version_id"],
+                          "reason": last["reason"]}
     return out
 
 
+def run_summary(store: ResearchStore, top: int = 10) -> DataFrame:
+    """The report at the end of a run: spend, counters and time from the call log, totals and largest sectors from
+    the state; (section, item, value)."""
+    calls, state = store.calls(), store.current()
+
+    def lines(df: DataFrame, section: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in df.columns])
+        return df.select(F.lit(section).alias("section"), F.explode(pairs).alias("p")).select("section", "p.item", "p.value")
+
+    spend = M.spend(calls)
+    totals = state.agg(
+        F.count(F.lit(1)).alias("total"), F.count("domain").alias("domain_found"),
+        F.count_if(F.col("services_description").isNotNull()
+                   & (F.col("services_description") != INSUFFICIENT_DATA)).alias("services_extracted"),
+        F.count_if(F.col("sector").isNotNull() & (F.col("sector") != UNCLASSIFIED)).alias("classified"),
+        F.count_if(F.col("sector") == UNCLASSIFIED).alias("unclassified"),
+        F.count("error_log").alias("errored"))
+    sectors = state.filter(F.col("sector").isNotNull()).groupBy("sector").agg(F.count(F.lit(1)).alias("n")) \
+        .orderBy(F.col("n").desc(), "sector").limit(top)
+    return (spend.select(F.lit("calls").alias("section"), F.col("service").alias("item"), F.col("calls").cast("double").alias("value"))
+            .unionByName(spend.select(F.lit("gbp").alias("section"), F.col("service").alias("item"), F.col("gbp").alias("value")))
+            .unionByName(lines(M.run_counters(calls), "run")).unionByName(lines(M.time_per_company(calls), "time"))
+            .unionByName(lines(totals, "totals"))
+            .unionByName(sectors.select(F.lit("sector").alias("section"), F.col("sector").alias("item"),
+                                        F.col("n").cast("double").alias("value"))))
+
+
 def refresh(store: ResearchStore, trigger: str = "manual", force: bool = False,
             dry_run: bool = False, min_support: int = 3,
-            expected: int = EXPECTED_SECTORS) -> dict:
-    """Gate, save the refined taxonomy, clear the gap rows and reclassify them."""
+            expected: int = EXPECTED_SECTORS, tag: str | None = None,
+            batches: tuple[int, int] | None = None) -> dict:
+    """Gate, save the refined taxonomy, clear the gap rows and reclassify them.
+
+    Inside a run the version is marked with ``tag`` and the patches are written as ``batches`` (cleared, placed
+    again): a replay finds its version, and its patches replace those of the first try."""
     spark = store.spark
+    state = store.current(before=batches[0] if batches else None)
+    mine = F.endswith(F.coalesce("notes", F.lit("")), F.lit(tag or "\0"))
+    made = store.versions_df().filter(mine).agg(F.max("version_id")).first()[0]
+    if made is not None:
+        return _place_gap(store, state, made, store.versions_df().filter(F.col("version_id") < made)
+                          .agg(F.max("version_id")).first()[0], batches)
     version = store.latest_version()
     if version is None:
         return {"accepted": False, "reason": "no current taxonomy in DB"}
     cur = store.taxonomy(version)
-    state = store.current()
     vdf = spark.range(1).select(F.lit(version).cast("int").alias("version_id"))
     at_version = state.filter(F.col("taxonomy_version_id") == version)
     new_flat, log = T.refresh_by_gap(at_version, cur, min_support)
@@ -269,15 +346,24 @@ def refresh(store: ResearchStore, trigger: str = "manual", force: bool = False,
     size = R.refresh_size(gap, ctx).first()
     log_json = T.change_log_json(log).first()["change_log"]
     new_version = store.save_taxonomy(new_flat.drop("added"), trigger, size["n_total"],
-                                      change_log=log_json, notes=f"refresh from v{version}")
+                                      change_log=log_json,
+                                      notes=f"refresh from v{version}" + (f" in {tag}" if tag else ""))
+    return _place_gap(store, state, new_version, version, batches)
+
+
+def _place_gap(store: ResearchStore, state: DataFrame, new_version: int, version: int,
+               batches: tuple[int, int] | None) -> dict:
+    """RFR5-6: clear the UNCLASSIFIED rows of ``version`` and place them by the new one."""
+    b = store._next_batch()
+    cleared, placed = batches or (b, b + 1)
     gap_keys = state.filter((F.col("sector") == UNCLASSIFIED)
                             & (F.col("taxonomy_version_id") == version))
-    store.append(S.clear_unclassified(gap_keys, version))
-    state = store.current()
+    store.append_at(S.clear_unclassified(gap_keys, version), cleared)
+    state = store.current(before=placed)
     cohort = state.filter(F.col("sector").isNull() & F.col("taxonomy_version_id").isNull()
                           & F.col("services_description").isNotNull())
     result = K.reclassify(cohort, store.taxonomy(new_version))
-    store.append(_classification_patch(result, state, new_version))
+    store.append_at(_classification_patch(result, state, new_version), placed)
     counts = {r["outcome"]: r["n"] for r in R.outcome_counts(result).collect()}
     return {"accepted": True, "new_version_id": new_version,
             "reclassified_n": counts.get("placed", 0),
