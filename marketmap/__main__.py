@@ -17,7 +17,13 @@ import argparse
 import json
 import sys
 
-from marketmap.constants import SAMPLE_SIZE
+from marketmap.constants import (
+    CHECKPOINT_EVERY,
+    REFRESH_EVERY,
+    REFRESH_UNCLASSIFIED_THRESHOLD,
+    REFRESH_WINDOW,
+    SAMPLE_SIZE,
+)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -40,6 +46,11 @@ def _parser() -> argparse.ArgumentParser:
     inputs(c)
     c.add_argument("--limit", type=int, default=None)
     c.add_argument("--output", default=None)
+    c.add_argument("--chunk", type=int, default=CHECKPOINT_EVERY, help="rows between two checks of the trigger")
+    c.add_argument("--window", type=int, default=REFRESH_WINDOW)
+    c.add_argument("--threshold", type=float, default=REFRESH_UNCLASSIFIED_THRESHOLD)
+    c.add_argument("--every", type=int, default=REFRESH_EVERY)
+    c.add_argument("--run-id", default=None, help="goes on with an interrupted run")
     r = sub.add_parser("refresh-taxonomy")
     r.add_argument("--force", action="store_true")
     r.add_argument("--dry-run", action="store_true")
@@ -68,10 +79,14 @@ def main(argv=None) -> int:
     if args.cmd == "discover":
         v = modes.discover(store, read_companies(spark, args.input), *tables(),
                            sample_size=args.sample_size)
+        if v is None:
+            print("No services descriptions to cluster on - aborting.")
+            return 1
         print(f"Saved taxonomy version {v}")
     elif args.cmd == "classify":
         out = modes.classify(store, read_companies(spark, args.input), *tables(),
-                             limit=args.limit)
+                             limit=args.limit, chunk=args.chunk, window=args.window,
+                             threshold=args.threshold, every=args.every, run_id=args.run_id)
         print(json.dumps(out, default=str))
         if args.output:
             print(f"Exported {modes.export(store, args.output)} rows to {args.output}")

@@ -379,33 +379,41 @@ def _ranked_terms(assigned: DataFrame, key: str) -> DataFrame:
         .filter(F.col("rank") <= MAX_SUB_SECTORS + 2).select("cluster", "term", "rank", "weight")
 
 
+#: Hashed term space of discovery, its fixed number of partitions, and the sub-sectors a new sector begins with
+#: (refinement fills the rest).
+TERM_SPACE, FIT_PARTITIONS, FIRST_SUBS = 1 << 16, 16, 12
+
+
+def described_terms(descriptions: DataFrame, key: str = "company_number",
+                    text: str = "services_description") -> DataFrame:
+    """(key, terms) of the rows with a usable description and a term."""
+    return descriptions.filter(_usable(text)).select(key, term_array(text).alias("terms")) \
+        .filter(F.size("terms") > 0)
+
+
 def discover(descriptions: DataFrame, k: int = EXPECTED_SECTORS, seed: int = 42,
              key: str = "company_number", text: str = "services_description",
-             vocab: int | None = None):
+             space: int = TERM_SPACE, subs: int = FIRST_SUBS):
     """TAX10: a two-level taxonomy from descriptions (TF-IDF + k-means).
 
-    Returns ``(flat, model)``. Sector names are the two best terms of a
-    cluster (banned words filtered, made unique); sub-sectors are the next
-    best terms, at most 20. Distributed: ``pyspark.ml`` fits k-means over
-    partitions; naming is a grouped aggregate plus a top-k window.
+    Returns ``(flat, model)``. Terms are hashed into a space of fixed size, so the model and its k centres have a
+    fixed size whatever the vocabulary; every term counts, and names come from the terms themselves. Before the fit
+    the rows are dealt by a hash of the key over a fixed number of partitions and sorted in them, so seeds and
+    sums see the same rows in the same places on any cluster. Sector names are the two best terms of a
+    cluster (banned words filtered, made unique); sub-sectors are the next ``subs`` terms (20 at most).
+    Too few descriptions for k clusters show up as a validation error (TAX4), not as a smaller k.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-
-    # The fits, the guard and the transform all read these term lists: write
-    # them once (a sample's descriptions, bounded by the sample size).
-    d = descriptions.filter(_usable(text)).select(key, term_array(text).alias("terms")) \
-        .filter(F.size("terms") > 0).checkpoint(eager=True)
-    # Every term counts: the vocabulary is as large as the exact number of distinct terms
-    # unless the caller sets a size. Too few descriptions for k clusters show up as a
-    # validation error of the taxonomy (TAX4), not as a smaller k.
-    terms = d.select(F.explode("terms").alias("term")).distinct().count()
-    if not terms:
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+    # The fits and the naming all read these term lists: write them once (a sample's descriptions).
+    d = described_terms(descriptions, key, text).withColumn("terms", F.array_sort("terms")) \
+        .repartition(FIT_PARTITIONS, F.xxhash64(key)).sortWithinPartitions(key, "terms").checkpoint(eager=True)
+    if d.isEmpty():
         raise ValueError("no usable descriptions to cluster")
-    vocab = vocab or terms
     pipe = Pipeline(stages=[
-        CountVectorizer(inputCol="terms", outputCol="_tf", vocabSize=vocab, minDF=1.0),
+        HashingTF(inputCol="terms", outputCol="_tf", numFeatures=space, binary=True),
         IDF(inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="_features", p=2.0),
         KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", maxIter=30),
@@ -414,12 +422,12 @@ def discover(descriptions: DataFrame, k: int = EXPECTED_SECTORS, seed: int = 42,
     # Naming reads the assignments several times: write them once to the
     # shared checkpoint folder instead of re-running the description pipeline.
     assigned = model.transform(d).select(key, "cluster", "terms").checkpoint(eager=True)
-    return name_clusters(assigned, key), model
+    return name_clusters(assigned, key, subs), model
 
 
-def name_clusters(assigned: DataFrame, key: str = "company_number") -> DataFrame:
+def name_clusters(assigned: DataFrame, key: str = "company_number", subs: int = MAX_SUB_SECTORS) -> DataFrame:
     """Flat taxonomy from (key, cluster, terms): names from the top terms."""
-    ranked = _ranked_terms(assigned, key)
+    ranked = _ranked_terms(assigned, key).filter(F.col("rank") <= min(subs, MAX_SUB_SECTORS) + 2)
     title = F.initcap(F.col("term"))
     heads = ranked.filter(F.col("rank") <= 2).groupBy("cluster").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", title.alias("t")))),
@@ -441,49 +449,54 @@ def name_clusters(assigned: DataFrame, key: str = "company_number") -> DataFrame
 
 
 def refine(flat: DataFrame, model, descriptions: DataFrame, key: str = "company_number",
-           text: str = "services_description", min_support: int = 2) -> DataFrame:
-    """TAX11: fold further descriptions into the taxonomy.
+           text: str = "services_description", min_support: int = 2, batch: int = CLUSTER_BATCH) -> DataFrame:
+    """TAX11: fold further descriptions into the taxonomy, batch after batch in key order.
 
-    New rows are assigned to their nearest sector by the fitted model;
-    frequent terms they bring that are not yet a sub-sector (nor in the
-    sector name) become sub-sectors, up to 20 per sector. Sector names and
-    positions never change; a sector gaining nothing keeps what it had.
+    Rows are assigned to their nearest sector by the fitted model; see ``refine_batches``. The result keeps
+    ``cluster``, so it can be refined again.
     """
-    d = descriptions.filter(_usable(text)).select(key, term_array(text).alias("terms")) \
-        .filter(F.size("terms") > 0)
-    assigned = model.transform(d).select(key, "cluster", "terms")
-    sec = flat.select("sector_pos", "sector").distinct()
-    cl = name_clusters_map(flat)
-    terms = assigned.select("cluster", F.explode("terms").alias("term")) \
-        .filter(_not_banned(F.col("term"))) \
-        .groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("support")) \
-        .filter(F.col("support") >= min_support) \
-        .join(F.broadcast(cl), "cluster")
-    existing = flat.filter(F.col("sub_pos").isNotNull()).select(
-        "sector_pos", F.lower("sub_sector").alias("term"))
-    fresh = terms.join(checked_broadcast(existing), ["sector_pos", "term"], "left_anti") \
-        .join(F.broadcast(sec), "sector_pos") \
-        .filter(F.instr(F.lower("sector"), F.col("term")) == 0)
-    return add_sub_sectors(flat, fresh.select("sector_pos", "term", "support"))
+    d = dense_index(described_terms(descriptions, key, text), [key], "_idx") \
+        .withColumn("batch_no", F.floor((F.col("_idx") - 1) / batch).cast("bigint"))
+    return refine_batches(flat, model.transform(d).select("cluster", "batch_no", "terms"), min_support)
 
 
-def name_clusters_map(flat: DataFrame) -> DataFrame:
-    """cluster -> sector_pos for a taxonomy made by ``discover``."""
-    return flat.select("cluster", "sector_pos").distinct()
+def refine_batches(flat: DataFrame, assigned: DataFrame, min_support: int = 2) -> DataFrame:
+    """TAX11 on assigned batches (cluster, batch_no, terms).
+
+    A term of a sector's rows that is neither one of its sub-sectors nor in its name becomes one with the batch in
+    which the rows that mention it, counted from the first batch on, reach ``min_support``; terms of one batch
+    come by that count, then by name, until the sector has 20. So each batch builds on what those before it left,
+    and one that brings nothing changes nothing; as the batches only ever add, the fold over them is a running
+    count per term and one ranking per sector. Sector names and positions never change.
+    """
+    sectors = flat.select("cluster", "sector_pos", "sector").distinct()
+    per = assigned.select("cluster", "batch_no", F.explode("terms").alias("term")).filter(_not_banned(F.col("term"))) \
+        .groupBy("cluster", "term", "batch_no").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = Window.partitionBy("cluster", "term").orderBy("batch_no")
+    reached = per.withColumn("support", F.sum("_n").over(so_far)).filter(F.col("support") >= min_support) \
+        .groupBy("cluster", "term").agg(F.min("batch_no").alias("batch_no"), F.min("support").alias("support"))
+    existing = flat.filter(F.col("sub_pos").isNotNull()).select("cluster", F.lower("sub_sector").alias("term"))
+    fresh = reached.join(existing, ["cluster", "term"], "left_anti").join(sectors, "cluster") \
+        .filter(F.instr(F.lower("sector"), F.col("term")) == 0)
+    out = add_sub_sectors(flat, fresh.select("sector_pos", "term", "support", "batch_no"))
+    return out.join(sectors.select("cluster", "sector_pos"), "sector_pos").select("cluster", *out.columns)
 
 
 def add_sub_sectors(flat: DataFrame, proposals: DataFrame,
                     max_subs: int = MAX_SUB_SECTORS) -> DataFrame:
-    """Append proposed (sector_pos, term, support) as sub-sectors, best first, capped.
+    """Append proposed (sector_pos, term, support) as sub-sectors, best first, capped; those with a ``batch_no``
+    by batch first.
 
     Returns the new flat taxonomy with an ``added`` flag on new rows.
     """
     counts = flat.filter(F.col("sub_pos").isNotNull()).groupBy("sector_pos") \
         .agg(F.count(F.lit(1)).alias("_have"), F.max("sub_pos").alias("_last"))
-    w = Window.partitionBy("sector_pos").orderBy(F.col("support").desc(), F.col("term"))
+    turn = [F.col("batch_no")] if "batch_no" in proposals.columns else []
+    w = Window.partitionBy("sector_pos").orderBy(*turn, F.col("support").desc(), F.col("term"))
     sec = flat.select("sector_pos", "sector", _opt(flat, "sector_description")
                       .alias("sector_description")).dropDuplicates(["sector_pos"])
-    new = proposals.withColumn("_r", F.row_number().over(w)) \
+    # The literal cut trims a sector's terms in every task before its room is known.
+    new = proposals.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_subs) \
         .join(F.broadcast(counts), "sector_pos", "left") \
         .filter(F.col("_r") <= F.lit(max_subs) - F.coalesce(F.col("_have"), F.lit(0))) \
         .join(F.broadcast(sec), "sector_pos") \

@@ -290,9 +290,42 @@ def _discover(fx):
     return flat
 
 
-@register("taxonomy_refine", views=["v_research"])
+REFINE_BATCH, REFINE_SUPPORT = 100, 3
+
+
+@register("taxonomy_refine", views=["v_research", "v_taxonomy"], oracle=f"""
+, d as (select company_number, {terms_sql("services_description")} as t from v_research
+  where {usable_sql("services_description")}),
+assigned as (select t, cast(company_number as bigint) % 5 as sector_pos,
+    (row_number() over (order by company_number) - 1) // {REFINE_BATCH} as batch_no from d where len(t) > 0),
+per as (select sector_pos, term, batch_no, count(*) as n from (select sector_pos, batch_no, unnest(t) as term from assigned)
+  where {not_banned_sql("term")} group by 1, 2, 3),
+so_far as (select *, sum(n) over (partition by sector_pos, term order by batch_no) as support from per),
+reached as (select sector_pos, term, min(batch_no) as batch_no, min(support) as support from so_far
+  where support >= {REFINE_SUPPORT} group by 1, 2),
+sec as (select sector_pos, sector, count(sub_pos) as have, max(sub_pos) as last from v_taxonomy group by 1, 2),
+fresh as (select r.*, s.sector, s.have, s.last,
+    row_number() over (partition by r.sector_pos order by batch_no, support desc, term) as k
+  from reached r join sec s on s.sector_pos = r.sector_pos
+  where strpos(lower(s.sector), term) = 0 and not exists (
+    select 1 from v_taxonomy x where x.sector_pos = r.sector_pos and lower(x.sub_sector) = term))
+select sector_pos as cluster, sector_pos, sector, sub_pos, sub_sector, false as added from v_taxonomy
+union all select cast(sector_pos as int), cast(sector_pos as int), sector, cast(last + k as int),
+  upper(term[1]) || term[2:], true from fresh where k <= 20 - have""")
 def _refine(fx):
+    """TAX11 over batches of a fixed assignment (rows to sectors by their number)."""
+    d = T.described_terms(fx.view("v_research"))
+    rows = T.dense_index(d, ["company_number"], "_idx").select(
+        (F.col("company_number").cast("bigint") % 5).cast("int").alias("cluster"),
+        F.floor((F.col("_idx") - 1) / REFINE_BATCH).alias("batch_no"), "terms")
+    flat = fx.view("v_taxonomy").withColumn("cluster", F.col("sector_pos"))
+    return T.refine_batches(flat, rows, REFINE_SUPPORT).select(
+        "cluster", "sector_pos", "sector", "sub_pos", "sub_sector", "added")
+
+
+@register("taxonomy_discover_refined", views=["v_research"])
+def _discover_refined(fx):
+    """TAX10-11: the sample's taxonomy, refined by the batches of the other descriptions."""
     st = fx.view("v_research")
     flat, model = T.discover(eligible_services(st))
-    later = st.filter(F.col("sampled_for_discovery") == 0)
-    return T.refine(flat, model, later)
+    return T.refine(flat, model, st.filter(F.col("sampled_for_discovery") == 0))

@@ -212,10 +212,10 @@ def _classification_patch(classified: DataFrame, state: DataFrame, version: int)
 
 def discover(store: ResearchStore, companies: DataFrame, probes: DataFrame, hits: DataFrame,
              pages: DataFrame, describer=None, sample_size: int = SAMPLE_SIZE,
-             seed: int = SAMPLE_SEED, k: int = 20) -> int:
-    """Sample, run the stages on the sample, cluster, validate and save a version.
+             seed: int = SAMPLE_SEED, k: int = 20) -> int | None:
+    """Sample, run the stages on the sample, cluster, refine batch after batch, validate and save a version.
 
-    An invalid taxonomy is still saved, with the error count in the notes.
+    Without a usable description nothing is saved and the result is None. An invalid taxonomy is still saved, with the error count in the notes.
     """
     state = store.current()
     sample = SM.sticky_sample(companies, state, sample_size, seed)
@@ -224,7 +224,10 @@ def discover(store: ResearchStore, companies: DataFrame, probes: DataFrame, hits
         .withColumn("sampled_for_discovery", F.lit(1))
     store.append(rows)
     eligible = V.eligible_services(store.current())
-    flat, _ = T.discover(eligible, k=k, seed=seed)
+    if T.described_terms(eligible).isEmpty():
+        return None
+    flat, model = T.discover(eligible, k=k, seed=seed)
+    flat = T.refine(flat, model, eligible).drop("cluster", "added").checkpoint(eager=True)
     n_errors = T.validate(flat).count()
     return store.save_taxonomy(flat, "initial", eligible.count(),
                                notes=f"validation_errors={n_errors}" if n_errors else "")

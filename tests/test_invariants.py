@@ -46,14 +46,53 @@ def test_sample_repeatable(spark):
     assert a == b
 
 
-def test_discovered_taxonomy_is_valid(spark):
+def test_discovered_taxonomy_is_valid_and_refinement_adds(spark):
     fx = Fixtures(spark, SF_MID)
-    flat, model = T.discover(eligible_services(fx.view("v_research")))
+    rows = eligible_services(fx.view("v_research"))
+    flat, model = T.discover(rows.repartition(2))
     errors = T.validate(flat).collect()
     assert errors == [], errors[:5]
-    refined = T.refine(flat, model, fx.view("v_research"))
+    # The same taxonomy however the rows lie.
+    again, _ = T.discover(rows.repartition(23, "company_name"))
+    assert sorted(map(str, flat.collect())) == sorted(map(str, again.collect()))
+    refined = T.refine(flat, model, fx.view("v_research")).checkpoint(eager=True)
     assert T.validate(refined).collect() == []
     assert T.diff(flat, refined).count() == 0
+    assert refined.filter("added").count() > 0 and refined.filter("not added").count() == flat.count()
+    more = T.refine(refined.drop("added"), model, fx.view("v_research"))
+    assert more.groupBy("sector_pos").count().agg({"count": "max"}).first()[0] <= 20
+
+
+def fold(flat, batches, support):
+    """TAX11 as a loop: one batch after the other on what the last one left."""
+    flat, seen, added = [list(r) for r in flat], {}, []
+    for batch in batches:
+        mentioned = {}
+        for cluster, terms in batch:
+            for t in terms:
+                seen[cluster, t] = seen.get((cluster, t), 0) + 1
+                mentioned[cluster, t] = seen[cluster, t]
+        for (c, t), n in sorted(mentioned.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
+            mine = [r for r in flat if r[0] == c and r[3] is not None]
+            name = next(r[2] for r in flat if r[0] == c)
+            if n >= support and t not in [r[4].lower() for r in mine] and t not in name.lower() and len(mine) < 20:
+                flat.append([c, c, name, max((r[3] for r in mine), default=-1) + 1, t.capitalize()])
+                added.append((c, flat[-1][3], flat[-1][4]))
+    return added
+
+
+def test_refinement_equals_a_fold_over_batches(spark):
+    import random
+    rng = random.Random(11)
+    flat = [(0, 0, "Term1 & Co", 0, "Term2"), (0, 0, "Term1 & Co", 1, "Term3"), (1, 1, "Empty", None, None)]
+    batches = [[(rng.randrange(2), sorted({f"term{min(rng.randrange(60), rng.randrange(60))}" for _ in range(4)}))
+                for _ in range(12)] for _ in range(8)]
+    rows = [(c, i, t) for i, b in enumerate(batches) for c, t in b]
+    got = T.refine_batches(
+        spark.createDataFrame(flat, "cluster int, sector_pos int, sector string, sub_pos int, sub_sector string"),
+        spark.createDataFrame(rows, "cluster int, batch_no long, terms array<string>"), 2)
+    assert sorted((r["cluster"], r["sub_pos"], r["sub_sector"]) for r in got.filter("added").collect()) == \
+        sorted(fold(flat, batches, 2))
 
 
 def test_refresh_never_renames(spark):
