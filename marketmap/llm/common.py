@@ -38,3 +38,19 @@ def hash_fraction(key: Column, seed: int) -> Column:
     """A fixed pseudo-random number in [0, 1) of ``key``."""
     h = F.xxhash64(F.lit(seed), key.cast("string"))
     return F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30)
+
+
+#: A key that holds this share of the rows or more is joined by broadcast: there are at most 1 / share such keys.
+HEAVY_SHARE = 1 / 1000
+
+
+def join_to_heavy_keys(rows: DataFrame, keys: DataFrame, on: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keys`` (one row for each ``on``, with the number ``size`` of rows that carry it); ``how``:
+    inner or left_semi. A join by shuffle would send a heavy key's rows to one task: those keys, at most
+    1 / HEAVY_SHARE by their sizes, are broadcast instead, and their rows stay where they are."""
+    total = keys.agg(F.sum(size)).first()[0] or 0
+    is_heavy = F.col(size) >= max(2, total * HEAVY_SHARE)
+    heavy, light = keys.filter(is_heavy), keys.filter(~is_heavy)
+    of_heavy = rows.join(F.broadcast(heavy), on, how)
+    others = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on, how)
+    return of_heavy.unionByName(others)

@@ -26,7 +26,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketmap.llm.common import scratch, stored
+from marketmap.llm.common import join_to_heavy_keys, scratch, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -125,10 +125,11 @@ def exact_groups(docs: DataFrame, files_per_trigger: int | None = None) -> DataF
     rows = spark.read.schema("doc_id long, digest string, locator string").parquet(landing).select("doc_id", "digest")
     keys = stored(current_state(spark, state), "exact-keys")
     # A digest with one row is found in its own state row; only the others need the join below.
-    hits = rows.join(keys.filter("group_size > 1").select("digest"), "digest", "left_semi")
+    hits = join_to_heavy_keys(rows, keys.filter("group_size > 1").select("digest", "group_size"), "digest", "group_size",
+                              "left_semi")
     texts = _texts(docs)
     split = stored(colliding_digests(texts, hits), "exact-split")
-    found = rows.join(split, "digest", "left_anti").join(keys, "digest") \
+    found = join_to_heavy_keys(rows, keys.join(split, "digest", "left_anti"), "digest", "group_size") \
         .select("doc_id", "keep_id", "group_size", "digest", "locator")
     apart = texts.join(split, "digest", "left_semi")
     kept = apart.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

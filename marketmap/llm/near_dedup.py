@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketmap.llm.common import stored
+from marketmap.llm.common import join_to_heavy_keys, stored
 from marketmap.llm.components import connected_components
 
 ROWS, BANDS, BATCH, MISS = 5, 40, 40, 1e-7
@@ -269,20 +269,26 @@ def _groups(members: DataFrame) -> DataFrame:
     """(group, node, component): overlapping buckets as one group, or one by one, whichever compares less."""
     linked = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")), "near-clusters") \
         .withColumnRenamed("component", "cluster")
-    rows = members.join(linked, "node")
-    apart = rows.groupBy("cluster", "bucket").agg(F.first("size").cast("double").alias("s")) \
-        .groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("apart"))
+    # A cluster is that of its buckets' first nodes, so it is decided on one row for each bucket.
+    buckets = stored(members.groupBy("bucket").agg(F.first("first").alias("node"), F.first("size").cast("double").alias("s"))
+                     .join(linked, "node").select("bucket", "cluster", "s"), "near-bucket-clusters")
+    apart = buckets.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("apart"), F.count(F.lit(1)).alias("buckets"))
     together = linked.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("g"))
-    choice = apart.join(together, "cluster").select("cluster", (F.col("g") * F.col("g") <= F.col("apart")).alias("as_one"))
-    return rows.join(choice, "cluster").select(
+    choice = stored(apart.join(together, "cluster").select(
+        "cluster", (F.col("g") * F.col("g") <= F.col("apart")).alias("as_one"), "buckets"), "near-choice")
+    chosen = join_to_heavy_keys(buckets.select("bucket", "cluster"), choice, "cluster", "buckets")
+    sized = chosen.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")), "bucket")
+    return join_to_heavy_keys(members, stored(sized.select("bucket", "cluster", "as_one", "rows"), "near-chosen"), "bucket", "rows").select(
         F.struct("as_one", F.when(F.col("as_one"), F.col("cluster")).otherwise(F.col("bucket")).alias("id")).alias("group"),
         "node", "component").distinct()
 
 
 def _group_links(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join the members of each group, block against block."""
-    size = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(size, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+    groups = stored(groups, "near-groups")
+    size = stored(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"),
+                                              F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks")), "near-sizes")
+    rows = join_to_heavy_keys(groups, size, "group", "n").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
                        "node", "component")
