@@ -10,13 +10,18 @@ holds an added token of the file ("<|endoftext|>"), which is one id as the libra
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words kept in each of two generations of the cache, and characters encoded at once.
-CACHE_WORDS, RUN_CHARS = 350_000, 1 << 21
+#: Words kept in each of two generations of the cache (and those of the last run), and characters encoded at once.
+CACHE_WORDS, RUN_CHARS = 100_000, 1 << 24
 
 
 class Encoder:
@@ -24,6 +29,7 @@ class Encoder:
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task on each core already
         self.tokenizer = Tokenizer.from_file(path)
@@ -32,6 +38,16 @@ class Encoder:
         # Between words of one call: a sign that is a word, and one id, of its own.
         self.between = "\n" if keeps_space else " | "
         (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the words are kept here
+        self.has_added = re.compile("|".join(map(re.escape, self.added)) or r"(?!)").search
+        # A word of Latin letters is one piece for the merges, as its bytes' signs, in the case of the file.
+        self.is_letters = re.compile((" " if keeps_space else "") + "[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {i: signs.pre_tokenize_str(chr(i))[0][0] for i in (0x20, *range(0xC0, 0x100))}
+        normal = self.tokenizer.normalizer
+        self.lowers = normal is not None and normal.normalize_str("Ab") == "ab"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -59,6 +75,9 @@ class Encoder:
         kept = new & self.older.keys()
         self.known.update((w, self.older[w]) for w in kept)
         new -= kept
+        letters = list(filter(self.is_letters, new))
+        self.known.update((w, self._plain_word(w)) for w in letters)
+        new.difference_update(letters)
         sign = self.between.strip(" ")
         alone = [w for w in new if sign in w or not w or (self.keeps_space and w[0] != " ") or self._marked(w)]
         new = list(new.difference(alone))
@@ -68,7 +87,12 @@ class Encoder:
             self.known.update(zip(alone, self._one_by_one(alone)))
 
     def _marked(self, text: str) -> bool:
-        return any(t in text for t in self.added)
+        return self.has_added(text) is not None
+
+    def _plain_word(self, word: str) -> bytes:
+        """Ids of a word of Latin letters (after a space, where the vocabulary keeps spaces)."""
+        piece = (word.lower() if self.lowers else word).translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _split(self, text: str) -> list[str]:
         """Parts whose ids are those of the text, one after the other."""
@@ -102,11 +126,23 @@ class Encoder:
         yield from self._run(run)
 
     def _run(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [self._split(t) for t in texts]
-        self._learn(set().union(*parts))
-        get = self.known.__getitem__
-        for words in parts:
-            yield b"".join(map(get, words))
+        # Each distinct part is looked up once; the ids of all parts are then taken by number.
+        if self.keeps_space or any(map(self._marked, texts)):
+            parts = [self._split(t) for t in texts]
+            edges = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+            found = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
+        else:
+            words = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+            edges, found = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        self._learn(set(distinct))
+        ids = list(map(self.known.__getitem__, distinct))
+        taken = pa.array(ids, pa.large_binary()).take(found.indices)
+        _, offsets, data = taken.buffers()
+        raw = memoryview(data or b"")
+        cuts = np.frombuffer(offsets, np.int64)[edges].tolist()
+        for x, y in zip(cuts, cuts[1:]):
+            yield bytes(raw[x:y])
 
 
 @lru_cache(maxsize=1)
