@@ -121,29 +121,35 @@ class Encoder:
             run.append(text)
             size += len(text)
             if size >= RUN_CHARS:
-                yield from self._run(run)
-                run, size = [], 0
+                full, run, size = run, [], 0
+                yield from self._run(full)
         yield from self._run(run)
 
     def _run(self, texts: list[str]) -> Iterator[bytes]:
         # Each distinct part is looked up once; the ids of all parts are then taken by number.
-        if self.keeps_space or any(map(self._marked, texts)):
-            parts = [self._split(t) for t in texts]
-            edges = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
-            found = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
-        else:
-            words = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
-            edges, found = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        edges, found = self._parts(texts)
         distinct = found.dictionary.to_pylist()
         self._learn(set(distinct))
-        ids = list(map(self.known.__getitem__, distinct))
-        taken = pa.array(ids, pa.large_binary()).take(found.indices)
+        taken = pa.array(list(map(self.known.__getitem__, distinct)), pa.large_binary()).take(found.indices)
+        del distinct, found
+        if len(self.known) > CACHE_WORDS:
+            self.older = {}  # the next run begins a new generation anyway
+        pa.default_memory_pool().release_unused()
         _, offsets, data = taken.buffers()
         raw = memoryview(data or b"")
         cuts = np.frombuffer(offsets, np.int64)[edges].tolist()
         for x, y in zip(cuts, cuts[1:]):
             yield bytes(raw[x:y])
 
+    def _parts(self, texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """Parts of all texts as numbers of distinct ones, and where each text's begin."""
+        if self.keeps_space or any(map(self._marked, texts)):
+            parts = [self._split(t) for t in texts]
+            edges = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+            return edges, pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
+        words = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        return words.offsets.to_numpy().astype(np.int64), words.flatten().dictionary_encode()
+
 
 @lru_cache(maxsize=1)
 def _kept(path: str, keeps_space: bool) -> Encoder:
