@@ -10,7 +10,7 @@ curve that is fitted on the other half of the sample.
 Learned from: text and toxic of labelled rows outside the held-out fold. A score sees the text alone.
 Edge cases: null, empty and letterless texts get the curve's value at zero; several labels of one
 document count as their largest, null labels as none; with no labelled row, or one class only, the
-lexicon is empty and scores are the share of toxic rows, below 0.5; repeated rows are scored one by one;
+lexicon is empty and every score is the untrained curve's value at zero (0.047); repeated rows are scored one by one;
 extra columns are ignored.
 """
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from marketmap.llm.common import hash_fraction, held_out, stored
 
-#: Bounds of the training sample, in expectation, and of the lexicon.
-TOXIC_ROWS, CLEAN_ROWS, MAX_ENTRIES = 3000, 9000, 5000
+#: Bounds of the training sample, in expectation; they bound the lexicon too.
+TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
 MIN_ROWS, MIN_SHARE, CHANCE, SHORTEST, LONGEST, SEED = 4, 0.985, 0.01, 3, 8, 23
 FLUSH = 400_000
 
@@ -106,8 +106,17 @@ def weigh(a, words: list[str]) -> tuple[float, int]:
             excused.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    if excused and best:
-        best = {s: w for s, w in best.items() if not any(x <= s < y for x, y in excused)}
+    if excused:
+        # Both in order of position, so one pass: the furthest end of the phrases that began so far.
+        excused.sort()
+        reach, k, left = -1, 0, {}
+        for s in sorted(best):
+            while k < len(excused) and excused[k][0] <= s:
+                reach = max(reach, excused[k][1])
+                k += 1
+            if s >= reach:
+                left[s] = best[s]
+        best = left
     return sum(best.values()), len(words)
 
 
@@ -134,8 +143,7 @@ def select_entries(counts: list[tuple[str, int, int]], n1: int, n0: int, tested:
         if any(entry[:k] in chosen and chosen[entry[:k]][1] >= p - 0.02 for k in range(2, len(entry))):
             continue
         chosen[entry] = (math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)), p)
-    ranked = sorted(chosen, key=lambda e: (-chosen[e][0], e))[:MAX_ENTRIES]
-    return {e: chosen[e][0] for e in ranked}
+    return {e: chosen[e][0] for e in sorted(chosen)}
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -226,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, weight, n_words; the lexicon is bounded by MAX_ENTRIES and goes with the function."""
+    """doc_id, score, weight, n_words; the lexicon is bounded by the sample and goes with the function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, w = automaton(model), np.array(model.curve)

@@ -192,3 +192,27 @@ def test_exception_phrases_take_back_weight():
     a = toxicity.automaton(model)
     assert toxicity.weigh(a, toxicity.fold("take the Trash can out"))[0] == 0
     assert toxicity.weigh(a, toxicity.fold("you are tr4sh !"))[0] == 5
+
+
+def test_exception_phrases_equal_direct_comparison():
+    import random
+    import time
+
+    rng = random.Random(9)
+    model = toxicity.Model({" trash ": 2.0, " tra": 1.0, " clown ": 3.0, " scum ": 1.5, " car": 0.5})
+    a = toxicity.automaton(model)
+    words = ["trash", "can", "bin", "clown", "fish", "car", "pond", "scum", "line", "the", "train"]
+    for _ in range(300):
+        text = [rng.choice(words) for _ in range(rng.randrange(0, 30))]
+        hay = f" {' '.join(text)} "
+        spans = [(i, i + len(p) + 1) for p in toxicity.EXCEPTIONS for i in range(len(hay)) if hay.startswith(f" {p} ", i)]
+        best = {}
+        for entry, w in model.weights.items():
+            for i in range(len(hay)):
+                if hay.startswith(entry, i):
+                    best[i] = max(best.get(i, 0.0), w)
+        want = sum(w for i, w in best.items() if not any(x <= i < y for x, y in spans))
+        assert toxicity.weigh(a, text) == (pytest.approx(want), len(text))
+    start = time.process_time()
+    toxicity.weigh(a, ["trash", "can", "clown", "the"] * 100_000)
+    assert time.process_time() - start < 5
