@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -69,11 +70,43 @@ def test_whole_article_is_kept(markup, want):
     assert html_extract.main_text(markup) == want
 
 
+@pytest.mark.parametrize("markup,want", [
+    (page(f"<form id=aspnetForm><div><ul><li><a href=x>Menu</a></ul></div>{ARTICLE}</form>"), TEXT),
+    (page(f"<form id=aspnetForm><main><h1>Head</h1><p>{WORDS}</p></main></form>"), TEXT),
+    (page(f"<form><h1>Head</h1><p>{WORDS}</p></form>"), TEXT),
+    (page(f"<fieldset>{ARTICLE}</fieldset>"), TEXT),
+    (page(f"<div role=form>{ARTICLE}</div><div role=dialog><p>{WORDS}</p></div>"), TEXT),
+    (page(f"<nav><a href=x>Menu</a><main><h1>Head</h1><p>{WORDS}</p></main>"), TEXT),
+    (page(f"<nav><ul><li>Menu</ul><div><main><h1>Head</h1><p>{WORDS}</p></main></div></nav><footer>Foot</footer>"), TEXT),
+    (page(f"<nav><a href=x>Menu</a>{ARTICLE}<footer>Foot</footer>"), TEXT),
+    (page(f"<div><nav><a href=x>Menu</a></div>{ARTICLE}"), TEXT),
+    (page(f"<header><h1>Site</h1></header><div class=content><p>{WORDS}</p><p>{WORDS}</p></div><form><h1>Log in</h1><p>{WORDS}</p></form>"),
+     f"{WORDS.strip()}\n\n{WORDS.strip()}"),
+    (page(f"<article><p>{WORDS}</p><form><p>{WORDS}</p><p>{WORDS}</p></form></article>"), WORDS.strip()),
+    (page(f"{ARTICLE}<footer><article><p>{WORDS}</p><p>{WORDS}</p>"), TEXT),
+    (page(f"<article><p>{WORDS}<button>Share this</button></p></article>"), WORDS.strip()),
+    (f"<head profile=x><title>T</title><body>{ARTICLE}", TEXT),
+])
+def test_wrappers_that_are_boilerplate_by_kind(markup, want):
+    assert html_extract.main_text(markup) == want
+
+
 def test_hostile_markup_ends():
     for markup in ("<div " * 20000, "<" * 50000, "<p title=\"" * 20000, "<!--" * 5000, "<a href='x" * 20000, "</p>" * 20000):
         assert isinstance(html_extract.main_text(markup), str)
 
 
+@pytest.mark.parametrize("markup", [
+    "<div>" * 50000 + "x" * 40, "<div>Some text of this element, " * 50000, "<div class=ad>Some text of this element, " * 50000,
+    "<ul><li>" + "<div>" * 25000 + "<li>One, and more text of it</li>" * 25000, "<b class=ad>" * 50000 + "</i>" * 50000,
+    "<form>Some text of this element, " * 50000, "<p>" + "<div>" * 25000 + "</p>" * 25000, "<header>Words of this header " * 50000,
+])
+def test_deep_and_long_pages_take_linear_time(markup):
+    start = time.process_time()
+    html_extract.main_text(markup)
+    assert time.process_time() - start < 4
+
+
 def test_pages_equal_their_articles(spark):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect()}
     got = {r["page_id"]: r for r in html_extract.extract_pages(spark.read.parquet(f"{SF_SMALL}/pages.parquet")).collect()}
