@@ -35,6 +35,9 @@ MAX_TOTAL_CHARS = 3000
 
 # Subtrees dropped before taking the text of a page.
 DROPPED_HTML_TAGS = ["script", "style", "nav", "footer", "header", "noscript"]
+# Elements that have no end tag.
+VOID_HTML_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
+                  "track", "wbr"]
 
 # Substrings not allowed in a sector name (case-insensitive).
 BANNED_WORDS = ["other", "misc", "miscellaneous", "general services",

@@ -6,6 +6,10 @@ whole-stage codegen wherever it is used.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from marketmap.constants import (
     DROPPED_HTML_TAGS,
     SLUG_STRIP_WORDS,
     TOKEN_STOP_WORDS,
+    VOID_HTML_TAGS,
 )
 
 # Characters Python's str.strip()/str.split() treat as white space.
@@ -131,37 +136,127 @@ def is_directory_host(host_col) -> Column:
 
 # ---- TXT9: HTML to text ----
 
-# Named references decoded in page text; '&amp;' is decoded last so that
-# '&amp;lt;' stays '&lt;'. The trailing ';' is optional for these legacy names.
-_ENTITIES = [
-    (r"&lt;?", "<"), (r"&gt;?", ">"), (r"&quot;?", '"'), (r"&#0*39;", "'"),
-    (r"&#[xX]0*27;", "'"), (r"&apos;", "'"), (r"&nbsp;?", "\u00a0"),
-    (r"&copy;?", "©"), (r"&reg;?", "®"), (r"&middot;?", "·"),
-    (r"&amp;?", "&"),
-]
-
-
-# Dropped subtrees and comments, matched in one left-to-right pass (as an
-# HTML tokenizer meets them); an unclosed element runs to the end.
+# Noncharacters that mark where a tag begins and ends while a page is cut up.
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"
 # The rest of a tag: a quoted value after '=' may hold '>'.
 _ATTRS = r"""(?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
-_DROP_RE = (r"(?is)<(" + "|".join(DROPPED_HTML_TAGS) + r")(?=[\s/>])" + _ATTRS + r">.*?(?:</\1\s*>|\z)"
-            r"|<!--.*?(?:-->|\z)")
-_TAG_RE = r"<(?:/?[A-Za-z]" + _ATTRS + r"|[!?][^>]*)>"
+# Scripts, styles and comments whole, any other tag by itself, in one left-to-right pass as an HTML tokenizer meets them.
+_TOKEN_RE = (r"(?is)<(script|style)(?=[\s/>])" + _ATTRS + r">.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
+             r"|</?[A-Za-z]" + _ATTRS + r">|<[!?][^>]*>|</>|</[^A-Za-z][^>]*>")
+# Name of a start tag or '/name' of an end tag, for tags that open or close an element.
+_NAME_RE = (r"(?is)^<(?!(?:script|style|" + "|".join(VOID_HTML_TAGS) + rf")[\s/>]|[^{_SHUT}]*/>{_SHUT})(/?[A-Za-z][^\s/>]*)")
+# Elements that hold others and are dropped with all of them.
+_DROPPED_TREES = [t for t in DROPPED_HTML_TAGS if t not in ("script", "style")]
+_TREE_RE = "(?i)<(?:" + "|".join(_DROPPED_TREES) + r")[\s/>]"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _shown(page: Column) -> Column:
+    """Text segments of a page outside dropped elements, in page order.
+
+    The page is cut into segments, each a tag and the text after it. A fold over the tags keeps the open elements
+    as '/inner/outer/': an end tag closes the nearest open element of its name and all inside it, so a dropped
+    element that is never closed ends with its parent. The fold collects the ranges of segments that show.
+    """
+    return _let(F.split(F.regexp_replace(page, _TOKEN_RE, f"{_OPEN}$0{_SHUT}"), _OPEN, -1), _shown_segments)
+
+
+def _shown_segments(segments: Column) -> Column:
+    def name(segment: Column) -> Column:
+        return F.lower(F.regexp_extract(segment, _NAME_RE, 1))
+
+    tags = F.filter(F.transform(segments, lambda s, i: F.struct(i.alias("i"), name(s).alias("name"))),
+                    lambda t: t["name"] != "")
+    start = F.struct(F.lit("/").alias("open"), F.lit(-1).alias("below"), F.lit(0).alias("since"),
+                     F.array().cast("array<struct<a:int,n:int>>").alias("shown"))
+
+    def step(state: Column, tag: Column) -> Column:
+        at = F.instr(state["open"], F.concat(tag["name"], F.lit("/")))
+        ends = F.startswith(tag["name"], F.lit("/"))
+        left = F.when(~ends, F.concat(F.lit("/"), tag["name"], state["open"])) \
+            .when(at > 0, F.substring(state["open"], at + F.length(tag["name"]), F.length(state["open"]))) \
+            .otherwise(state["open"])
+        hides = (state["below"] < 0) & tag["name"].isin(*_DROPPED_TREES)
+        shows = (state["below"] >= 0) & (F.length(left) <= state["below"])
+        seen = F.struct((state["since"] + 1).alias("a"), (tag["i"] - state["since"]).alias("n"))
+        return F.struct(
+            left.alias("open"),
+            F.when(hides, F.length(state["open"])).when(shows, -1).otherwise(state["below"]).alias("below"),
+            F.when(shows, tag["i"]).otherwise(state["since"]).alias("since"),
+            F.when(hides, F.concat(state["shown"], F.array(seen))).otherwise(state["shown"]).alias("shown"))
+
+    def finish(state: Column) -> Column:
+        rest = F.struct((state["since"] + 1).alias("a"), (F.size(segments) - state["since"]).alias("n"))
+        return F.when(state["below"] < 0, F.concat(state["shown"], F.array(rest))).otherwise(state["shown"])
+
+    ranges = F.aggregate(tags, start, step, finish)
+    shown = F.flatten(F.transform(ranges, lambda r: F.slice(segments, r["a"], r["n"])))
+    return F.array_join(F.transform(shown, lambda s: F.substring_index(s, _SHUT, -1)), " ")
+
+
+# Character references as HTML defines them; names that end without ';' are the legacy ones.
+_REFERENCE_RE = r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[^\t\n\f <&#;]{1,32};?)"
+_LEGACY_RE = "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+# Numbers 0x80 to 0x9F mean the Windows characters of those bytes, where there are any.
+_WINDOWS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
+
+
+def _numeric(ref: Column) -> Column:
+    """The character of '&#...;': U+FFFD where there is none, '' for control and noncharacters."""
+    ten, sixteen = (F.regexp_extract(ref, p, 1) for p in ("^&#0*([0-9]*)", "^&#[xX]0*([0-9a-fA-F]*)"))
+    is_hex = ref.rlike("^&#[xX]")
+    n = F.when(is_hex & (F.length(sixteen) <= 6), F.conv(F.concat(F.lit("0"), sixteen), 16, 10).cast("int")) \
+        .when(~is_hex & (F.length(ten) <= 7), F.concat(F.lit("0"), ten).cast("int")).otherwise(0x110000)
+    text = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd") \
+        .when(n.between(0x80, 0x9F), F.get(F.array(*[F.lit(w) for w in _WINDOWS]), n - 0x80)) \
+        .when((n.between(1, 0x1F) & ~n.isin(9, 10, 12, 13)) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF)
+              | (n.bitwiseAND(0xFFFE) == 0xFFFE), "") \
+        .otherwise(text)
+
+
+def _reference(ref: Column, names: Column) -> Column:
+    legacy = F.regexp_extract(ref, _LEGACY_RE, 1)
+    return F.when(F.startswith(ref, F.lit("&#")), _numeric(ref)) \
+        .otherwise(F.coalesce(F.element_at(names, F.substring(ref, 2, 40)),
+                              F.concat(F.element_at(names, legacy), F.substring(ref, F.length(legacy) + 2, F.lit(40))),
+                              ref))
+
+
+def decode_references(c) -> Column:
+    """Character references of a text decoded once: every HTML name, numbers, legacy names without ';'."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def put_in(text: Column, refs: Column, chars: Column) -> Column:
+        decoded = F.concat(F.transform(refs, lambda r: F.element_at(chars, r)), F.array(F.lit("")))
+        pieces = F.split(text, _REFERENCE_RE, -1)
+        return F.array_join(F.zip_with(pieces, decoded, lambda piece, char: F.concat(piece, char)), "")
+
+    def decode(text: Column, refs: Column) -> Column:
+        # Each reference of a page is looked up once.
+        chars = _let(F.array_distinct(refs), lambda kinds: F.map_from_arrays(
+            kinds, F.transform(kinds, lambda r: _reference(r, names))))
+        return F.when(F.size(refs) > 0, _let(chars, lambda m: put_in(text, refs, m))).otherwise(text)
+
+    return _let(_c(c), lambda text: _let(F.regexp_extract_all(text, F.lit(_REFERENCE_RE), 0), lambda refs: decode(text, refs)))
 
 
 def html_text(c) -> Column:
     """TXT9: visible text of an HTML page.
 
-    Drops script/style/nav/footer/header/noscript subtrees and comments,
-    turns every remaining tag into a separator, decodes common references
-    and collapses white space.
+    Drops script/style/nav/footer/header/noscript elements (each ends with its end tag, or with its parent) and
+    comments, turns every remaining tag into a separator, decodes character references and collapses white space.
+    The noncharacters U+FDD0 and U+FDD1 are removed from the page.
     """
-    x = F.regexp_replace(_c(c), _DROP_RE, " ")
-    x = F.regexp_replace(x, _TAG_RE, " ")
-    for pat, rep in _ENTITIES:
-        x = F.regexp_replace(x, pat, rep)
-    return collapse_ws(x)
+    def text(page: Column) -> Column:
+        # Where no element can be dropped with others in it, tags need no nesting.
+        return F.when(page.rlike(_TREE_RE), _shown(page)).otherwise(F.regexp_replace(page, _TOKEN_RE, " "))
+
+    return collapse_ws(decode_references(_let(F.regexp_replace(_c(c), f"[{_OPEN}{_SHUT}]", ""), text)))
 
 
 # ---- SVC1-4: model responses ----
