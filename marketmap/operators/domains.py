@@ -6,7 +6,8 @@ shares enough name tokens. Probe and search results arrive as tables.
 
 Plan shape: hits are joined to companies on the company key (one shuffle
 of each side), and the per-company pick reuses that hash partitioning, so
-the aggregate adds no exchange.
+the aggregate adds no exchange. In the cascade only hits of companies
+without a guess pass that join.
 """
 
 from __future__ import annotations
@@ -87,49 +88,62 @@ def confidence_band(score) -> F.Column:
         .otherwise(F.lit(None).cast("string"))
 
 
-def search_domain(companies: DataFrame, hits: DataFrame) -> DataFrame:
-    """DOM8: first accepted hit by (query_no, rank); method 'serper'.
+def _name_facts(companies: DataFrame) -> DataFrame:
+    """Name tokens and the postcode flag of each company, what the search cascade needs of it."""
+    return companies.select("company_number", X.name_tokens("company_name").alias("_tokens"),
+                            X.postcode_sector("postcode").isNotNull().alias("_pc"))
 
-    Accepted = a query the plan (DOM3) issues, not a directory, band not
-    NULL, non-empty host. One join of hits to companies carries the name
-    tokens and the postcode flag; the per-company pick reuses its
-    partitioning. Link de-duplication cannot change which hit is first, so
-    it is skipped here.
-    """
-    c = companies.select("company_number", X.name_tokens("company_name").alias("_tokens"),
-                         X.postcode_sector("postcode").isNotNull().alias("_pc"))
-    h = hits.filter(F.col("link").isNotNull() & (F.col("link") != "")) \
+
+def _links(hits: DataFrame) -> DataFrame:
+    return hits.filter(F.col("link").isNotNull() & (F.col("link") != "")) \
         .select("company_number", "query_no", "rank", "link")
-    j = h.join(c, "company_number")
+
+
+def _first_accepted(joined: DataFrame, *keep: F.Column) -> DataFrame:
+    """Per company the first accepted hit as ``_b`` (NULL without one), with the aggregates ``keep``.
+
+    ``joined`` holds hits beside the facts of their company; a row without a hit is never accepted. Accepted = a
+    query the plan (DOM3) issues, not a directory, band not NULL, non-empty host.
+    """
     planned = (F.size("_tokens") > 0) & (
         (F.col("query_no") == 2) | (F.col("_pc") & F.col("query_no").isin(1, 3)))
-    # The host is parsed once per hit; label, directory test and the stored
-    # host all derive from it.
-    h = j.filter(planned).select("company_number", "query_no", "rank", "_tokens",
-                                 X.host("link").alias("_h"),
-                                 X.drop_www(X.url_host(F.col("link"))).alias("_host"))
+    # The host is parsed once per hit; label, directory test and the stored host all derive from it.
+    j = joined.withColumn("_h", F.when(planned, X.host("link"))) \
+        .withColumn("_host", X.drop_www(X.url_host(F.col("link"))))
     bare = F.substring_index(F.col("_h"), ".", 1)
     score = F.when(bare == "", F.lit(0)).otherwise(
         F.size(F.filter("_tokens", lambda t: F.instr(bare, t) > 0)))
-    acc = h.filter(~X.is_directory_host(F.col("_h"))) \
-        .select("company_number", "query_no", "rank", confidence_band(score).alias("band"),
-                "_host") \
-        .filter(F.col("band").isNotNull() & (F.col("_host") != ""))
-    best = acc.groupBy("company_number").agg(
-        F.min_by(F.struct(F.col("_host").alias("domain"),
-                          F.col("band").alias("domain_confidence")),
-                 F.struct("query_no", "rank")).alias("_b"))
-    return best.select("company_number", "_b.domain", "_b.domain_confidence",
-                       F.lit("serper").alias("domain_method"))
+    j = j.withColumn("band", F.when(~X.is_directory_host(F.col("_h")), confidence_band(score)))
+    accepted = F.col("band").isNotNull() & (F.col("_host") != "")
+    return j.groupBy("company_number").agg(
+        F.min_by(F.struct(F.col("_host").alias("domain"), F.col("band").alias("domain_confidence")),
+                 F.when(accepted, F.struct("query_no", "rank"))).alias("_b"), *keep)
+
+
+def search_domain(companies: DataFrame, hits: DataFrame) -> DataFrame:
+    """DOM8: first accepted hit by (query_no, rank); method 'serper'.
+
+    One join of hits to companies carries the name tokens and the postcode flag; the per-company pick reuses its
+    partitioning. Link de-duplication cannot change which hit is first, so it is skipped here.
+    """
+    best = _first_accepted(_links(hits).join(_name_facts(companies), "company_number"))
+    return best.filter(F.col("_b").isNotNull()) \
+        .select("company_number", "_b.domain", "_b.domain_confidence", F.lit("serper").alias("domain_method"))
 
 
 def resolve_domains(companies: DataFrame, probes: DataFrame, hits: DataFrame) -> DataFrame:
-    """DOM9: guess first, else search, else NULL — one row per company."""
-    g = guess_domain(guess_candidates(companies), probes)
-    s = search_domain(companies, hits)
+    """DOM9: guess first, else search, else NULL — one row per company.
+
+    The guesses are joined to the companies first; the join with the hits lets through only those of companies
+    without a guess, so no other hit is parsed or scored. Both joins and the pick share one partitioning.
+    """
     cols = ["domain", "domain_confidence", "domain_method"]
-    j = companies.select("company_number") \
-        .join(g.select("company_number", F.struct(*cols).alias("_g")), "company_number", "left") \
-        .join(s.select("company_number", F.struct(*cols).alias("_s")), "company_number", "left")
-    pick = F.coalesce("_g", "_s")
-    return j.select("company_number", *[pick[c].alias(c) for c in cols])
+    g = guess_domain(guess_candidates(companies), probes).select("company_number", F.struct(*cols).alias("_g"))
+    c = _name_facts(companies).join(g, "company_number", "left").alias("c")
+    h = _links(hits).alias("h")
+    j = c.join(h, (F.col("c.company_number") == F.col("h.company_number")) & F.col("c._g").isNull(), "left") \
+        .select("c.*", "h.query_no", "h.rank", "h.link")
+    best = _first_accepted(j, F.first("_g").alias("_g"))
+    found = F.struct("_b.domain", "_b.domain_confidence", F.lit("serper").alias("domain_method"))
+    pick = F.coalesce("_g", F.when(F.col("_b").isNotNull(), found))
+    return best.select("company_number", pick.alias("_p")).select("company_number", *[F.col("_p")[k].alias(k) for k in cols])

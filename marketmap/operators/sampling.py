@@ -8,9 +8,9 @@ the result has exactly min(n, rows) rows.
 Scale: stratum counts are a partial aggregate over at most 703 areas (one
 or two letters, plus '_NONE_'), broadcast back. The in-stratum rank keeps
 only ranks <= n, which Spark plans as a WindowGroupLimit, so a stratum
-holding a third of the input still ships at most n rows per map task. The
-final pick is an exact top-n (``top_k``: grouped pre-reduction when the
-partition count is large).
+holding a third of the input still ships at most n rows per map task. Quota
+rows and top-up rows both come from the ranked rows, so the input is not joined
+with itself; the final pick is an exact top-n (``top_k``).
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from marketmap.constants import NONE_AREA, SAMPLE_SEED, SAMPLE_SIZE
 from marketmap.functions.text import postcode_area
 from marketmap.operators.partitioning import attach_one_row, top_k
 
-MAX_BROADCAST_SAMPLE = 1_000_000
-
 
 def _hash(seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col("company_number")))
@@ -40,16 +38,11 @@ def stratified_sample(companies: DataFrame, n: int = SAMPLE_SIZE,
         "area", F.least(F.bround(F.lit(float(n)) * (F.col("_cnt") / F.col("_total")), 0),
                         F.col("_cnt")).cast("bigint").alias("_quota"))
     w = Window.partitionBy("area").orderBy("_h", "company_number")
-    ranked = d.select("company_number", "area", "_h") \
-        .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    in_quota = ranked.join(F.broadcast(quota), "area") \
-        .filter(F.col("_rn") <= F.col("_quota")).select("company_number",
-                                                        F.lit(True).alias("_in"))
-    if n <= MAX_BROADCAST_SAMPLE:
-        in_quota = F.broadcast(in_quota)
-    j = d.join(in_quota, "company_number", "left")
-    picked = top_k(j, [F.col("_in").desc_nulls_last(), F.col("_h"), F.col("company_number")], n)
-    return picked.drop("_h", "_in")
+    # A row that is picked has an in-stratum rank of n at most: all before it in its stratum are picked too.
+    ranked = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n) \
+        .join(F.broadcast(quota), "area").withColumn("_in", F.col("_rn") <= F.col("_quota"))
+    picked = top_k(ranked, [F.col("_in").desc(), F.col("_h"), F.col("company_number")], n)
+    return picked.select(*[c for c in d.columns if c != "_h"])
 
 
 def simple_sample(companies: DataFrame, n: int = SAMPLE_SIZE,
