@@ -65,6 +65,7 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv=None) -> int:
     args = _parser().parse_args(argv)
+    from marketmap.operators.retry import retry_counts
     from marketmap.plans import modes
     from marketmap.session import get_session
     from marketmap.sources.companies import read_companies
@@ -101,7 +102,11 @@ def main(argv=None) -> int:
     elif args.cmd == "export":
         print(f"Exported {modes.export(store, args.output)} rows to {args.output}")
     elif args.cmd == "retry-failed":
-        print(f"Retried {modes.retry_failed(store, *tables())} errored rows")
+        done = modes.retry_failed(store, *tables())
+        print(f"Retried {done['retried']} errored rows")
+        if done["retried"]:
+            report = modes.retry_report(store, done["first_batch"], done["end_batch"])
+            retry_counts(report).orderBy("outcome").show(truncate=False)
     return 0
 
 

@@ -1,17 +1,22 @@
 """Checks for CLS1-10, RFR1-6, SMP1-4 and RTY3."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketmap.operators import classify as K
 from marketmap.operators import refresh as R
+from marketmap.operators import retry as RT
 from marketmap.operators import sampling as SM
 from marketmap.operators import taxonomy as T
 from marketmap.operators.partitioning import attach_one_row
-from marketmap.operators.retry import retry_plan
+from marketmap.plans import modes
 from marketmap.plans.checks.sources import COMPANIES_CTES, companies
 from marketmap.plans.checks.taxonomy import ERRORS_SQL, terms_sql
 from marketmap.plans.checks.text import postcode_area_sql
 from marketmap.plans.registry import register
+from marketmap.session import state_root
+from marketmap.sources import state as S
 
 
 @register("pending", views=["v_companies_raw", "v_research"], oracle=f"""{COMPANIES_CTES}
@@ -298,14 +303,40 @@ def _sticky(fx):
     return SM.sticky_sample(companies(fx), fx.view("v_research"), 250).select("company_number")
 
 
-@register("retry_plan", views=["v_research"], oracle="""
-select company_number, company_name, cast(null as varchar) as postcode,
-  ['domain', 'scrape', 'describe'] as stages,
-  services_description is not null and services_description <> ''
-    and services_description <> 'INSUFFICIENT_DATA' as classify_due
-from v_research where error_log is not null""")
+RERUN_SQL = """select r.company_number, r.company_name, n.domain, n.services_description,
+  case when right(r.company_number, 1) = '0' then 'services_extraction: None returned' end as error_log,
+  case when n.services_description <> 'INSUFFICIENT_DATA' and right(r.company_number, 1) <> '3' then n.sector end as sector
+from v_research r left join v_research n
+  on n.company_number = lpad(cast(cast(r.company_number as bigint) + 1 as {text}), 8, '0')
+where r.error_log is not null and right(r.company_number, 1) <> '7'"""
+
+
+@register("retry_outcome", views=["v_research"], oracle=f"""
+, again as ({RERUN_SQL.format(text="varchar")}),
+j as (select r.company_number, r.company_name, r.error_log as was_error, r.domain as was_domain, r.sector as was_sector,
+    r.services_description as was_text, a.company_number as rerun, a.error_log, a.domain, a.sector, a.services_description
+  from v_research r left join again a on a.company_number = r.company_number where r.error_log is not null),
+n as (select company_number, company_name, was_error, was_sector, was_domain,
+    case when rerun is null then null else error_log end as now_error,
+    case when rerun is null then was_domain else domain end as now_domain,
+    case when rerun is null then was_sector else sector end as now_sector,
+    coalesce(case when rerun is null then was_text else services_description end, '') as text from j)
+select company_number, company_name, was_error, now_error, was_domain is distinct from now_domain as domain_changed,
+  text not in ('', 'INSUFFICIENT_DATA') as usable, was_sector, now_sector,
+  case when now_error is not null then 'errored' when now_sector = 'UNCLASSIFIED' then 'unclassified'
+    when now_sector is not null then 'placed' when text not in ('', 'INSUFFICIENT_DATA') then 'described'
+    when text <> '' then 'insufficient' else 'empty' end as outcome
+from n""")
 def _retry(fx):
-    return retry_plan(fx.view("v_research"), has_taxonomy=True)
+    """RTY3 over a patch log: the state, its errors cleared, the rows that a rerun gave (each errored company gets
+    what its neighbour holds; some get nothing), and the two as-of reads compared."""
+    store = modes.ResearchStore(fx.spark, state_root(fx.spark, "checks", f"retry-{uuid.uuid4().hex}"))
+    state = fx.view("v_research")
+    store.append(state, stamp=False)
+    bad = RT.errored(state)
+    first = store.append(S.clear_error(state, bad).join(bad, "company_number", "left_semi"), stamp=False)
+    last = store.append(fx.sql(["v_research"], RERUN_SQL.format(text="string")), stamp=False)
+    return modes.retry_report(store, first, last + 1)
 
 
 COHORT_SQL = f"""select company_number, services_description from (

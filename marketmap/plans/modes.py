@@ -388,24 +388,34 @@ def export(store: ResearchStore, path: str) -> int:
 
 
 def retry_failed(store: ResearchStore, probes: DataFrame, hits: DataFrame, pages: DataFrame,
-                 describer=None) -> int:
+                 describer=None) -> dict:
     """Clear the error and rerun every stage from nothing for errored rows;
-    classify those that end with a usable description when a taxonomy exists."""
-    state = store.current()
+    classify those that end with a usable description when a taxonomy exists.
+
+    The result names the patch batches of the rerun (``first_batch`` up to ``end_batch``, not included), so
+    :func:`retry_report` can compare the state on both sides at any later time."""
+    first = store._next_batch()
+    state = store.current(before=first)
     bad = RT.errored(state)
     n = bad.count()
     if n == 0:
-        return 0
-    store.append(S.clear_error(state, bad).join(bad.select("company_number"), "company_number",
-                                                "left_semi"))
+        return {"retried": 0, "first_batch": None, "end_batch": None}
+    last = store.append(S.clear_error(state, bad).join(bad.select("company_number"), "company_number",
+                                                       "left_semi"))
     rows = run_stages(store.current(), bad, probes, hits, pages, describer, resume=False)
-    store.append(rows)
+    last = store.append(rows)
     version = store.latest_version()
     if version is not None:
         state = store.current()
         usable = state.join(bad.select("company_number"), "company_number", "left_semi") \
             .filter(F.col("services_description").isNotNull()
                     & (F.col("services_description") != INSUFFICIENT_DATA))
-        store.append(_classification_patch(K.reclassify(usable, store.taxonomy(version)),
-                                           state, version))
-    return n
+        last = store.append(_classification_patch(K.reclassify(usable, store.taxonomy(version)),
+                                                  state, version))
+    return {"retried": n, "first_batch": first, "end_batch": last + 1}
+
+
+def retry_report(store: ResearchStore, first_batch: int, end_batch: int | None = None) -> DataFrame:
+    """RTY3: the outcome of the rerun that wrote batches ``first_batch`` up to ``end_batch`` (not included), each
+    errored row as it was and as it is, from two as-of reads of the patch log."""
+    return RT.retry_outcome(store.current(before=first_batch), store.current(before=end_batch))

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketmap.operators import domains as D
+from marketmap.operators import retry as RT
 from marketmap.operators import taxonomy as T
 from marketmap.plans import modes
 from marketmap.plans.fixtures import Fixtures
@@ -78,4 +79,34 @@ def test_end_to_end(spark):
     assert spark.read.option("header", True).csv(path).count() == n
 
     failed = store.current().filter("error_log is not null").count()
-    assert modes.retry_failed(store, probes, hits, pages) == failed
+    assert modes.retry_failed(store, probes, hits, pages)["retried"] == failed
+
+
+def test_retry_report_compares_both_sides(spark):
+    """A company whose site is found on the rerun is placed; one without a site is empty; others stay out."""
+    companies, probes, hits, pages = inputs(spark)
+    store = modes.ResearchStore(spark, tempfile.mkdtemp(prefix="mm-retry-"))
+    n = companies.count()
+    modes.discover(store, companies, probes, hits, pages, sample_size=n + 1, k=5)
+    found = store.current().filter(F.col("services_description").isNotNull()).select("company_number").limit(3)
+    lost = store.current().filter(F.col("domain").isNull()).select("company_number").limit(2)
+    good, bad = ([r[0] for r in d.collect()] for d in (found, lost))
+    assert len(good) == 3 and len(bad) == 2
+    errored = store.current().filter(F.col("company_number").isin(good + bad)) \
+        .withColumn("error_log", F.lit("scrape: timeout")).withColumn("domain", F.lit(None).cast("string")) \
+        .withColumn("services_description", F.lit(None).cast("string"))
+    store.append(errored)
+    done = modes.retry_failed(store, probes, hits, pages)
+    assert done["retried"] == 5 and done["end_batch"] > done["first_batch"]
+    report = {r["company_number"]: r for r in
+              modes.retry_report(store, done["first_batch"], done["end_batch"]).collect()}
+    assert set(report) == set(good + bad)
+    for c in good:
+        assert report[c]["outcome"] in ("placed", "unclassified") and report[c]["domain_changed"]
+        assert report[c]["was_error"] == "scrape: timeout" and report[c]["now_error"] is None
+    assert {report[c]["outcome"] for c in bad} == {"empty"}
+    # A later change of the state does not change the report.
+    store.append(errored)
+    again = modes.retry_report(store, done["first_batch"], done["end_batch"])
+    assert {r["company_number"]: r for r in again.collect()} == report
+    assert RT.retry_counts(again).agg(F.sum("n")).first()[0] == 5
