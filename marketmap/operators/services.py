@@ -7,9 +7,6 @@ quietly turn 5 into '5').
 
 from __future__ import annotations
 
-import json
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -80,45 +77,81 @@ def assemble_errors(*messages: Column) -> Column:
     return F.when(j == "", F.lit(None).cast("string")).otherwise(j)
 
 
-# ---- SVC5: batch inference through a user function ----
+# ---- SVC5: descriptions from site texts ----
 
 Describer = Callable[[pd.Series], pd.Series]
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_WORD = re.compile(r"[a-z][a-z0-9]+")
+N_TERMS, N_SENTENCES, MIN_TERM = 5, 2, 4
+SENTENCE_END = r"([.!?])[ \t\n\r\f]+"
+_TERM = f"[a-z][a-z0-9]{{{MIN_TERM - 1},}}"
+_MARK = "\x01"
 
 
-def offline_describer(texts: pd.Series) -> pd.Series:
-    """Deterministic stand-in for the model: a JSON response per site text.
+def _terms(text: Column) -> Column:
+    """Content words of a text in order, repeats included."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(TOKEN_STOP_WORDS))
 
-    services = the first two sentences; specialisms = the five most frequent
-    content words of the whole text. A null or blank text answers INSUFFICIENT_DATA.
+
+def top_terms(text: Column, n: int = N_TERMS) -> Column:
+    """The ``n`` most frequent content words of the whole text, ties in alphabetical order.
+
+    A fold over the sorted words that keeps the present run and the best ``n`` runs so far; the empty string at
+    the end closes the last run.
     """
-    stop = set(TOKEN_STOP_WORDS)
+    run = F.struct(F.lit("").alias("word"), F.lit(0).alias("count"),
+                   F.array().cast("array<struct<rank:int,word:string>>").alias("best"))
+
+    def step(acc, w):
+        ended = F.when(acc["count"] == 0, acc["best"]).otherwise(F.slice(F.array_sort(F.array_append(
+            acc["best"], F.struct((-acc["count"]).alias("rank"), acc["word"].alias("word")))), 1, n))
+        return F.when(acc["word"] == w, F.struct(acc["word"].alias("word"), (acc["count"] + 1).alias("count"),
+                                                 acc["best"].alias("best"))) \
+            .otherwise(F.struct(w.alias("word"), F.lit(1).alias("count"), ended.alias("best")))
+
+    words = F.array_append(F.array_sort(_terms(text)), F.lit(""))
+    return F.aggregate(words, run, step, lambda acc: F.transform(acc["best"], lambda b: b["word"]))
 
-    def one(t):
-        if t is None or not t.strip():
-            return INSUFFICIENT_DATA
-        sentences = _SENTENCE.split(t.strip())
-        words = [w for w in _WORD.findall(t.lower()) if len(w) >= 4 and w not in stop]
-        top = [w for w, _ in sorted(Counter(words).items(), key=lambda x: (-x[1], x[0]))[:5]]
-        return json.dumps({"services": " ".join(sentences[:2]), "specialisms": top})
 
-    return texts.map(one)
+def lead_sentences(text: Column, terms: Column, n: int = N_SENTENCES) -> Column:
+    """The ``n`` sentences of the whole text with most of the ``terms`` (ties: the earlier), in text order."""
+    marked = F.regexp_replace(F.btrim(text, F.lit(" \t\n\r\f")), SENTENCE_END, f"$1{_MARK}")
+    scored = F.transform(F.split(marked, _MARK), lambda s, i: F.struct(
+        (-F.size(F.array_intersect(_terms(s), terms))).alias("rank"), i.alias("at"), s.alias("text")))
+    best = F.slice(F.array_sort(scored), 1, n)
+    return F.array_join(F.transform(F.array_sort(F.transform(best, lambda b: F.struct(b["at"], b["text"]))),
+                                    lambda b: b["text"]), " ")
+
+
+def extract_descriptions(sites: DataFrame, key: str = "host", text: str = "text") -> DataFrame:
+    """SVC5 without a model: a JSON response per site text, built-in functions only, no shuffle.
+
+    services = the two sentences of the whole text that hold most of its five most frequent content words;
+    specialisms = those words. A null text or one of white space only answers INSUFFICIENT_DATA. A text
+    without content words gives its first two sentences and no specialisms.
+    """
+    t = F.col("_t")
+    # Two columns read the terms, so Spark computes them once a row and not inside the fold over sentences.
+    rows = sites.select(key, F.col(text).alias("_t"), top_terms(F.col(text)).alias("_terms"))
+    answer = F.to_json(F.struct(lead_sentences(t, F.col("_terms")).alias("services"),
+                                F.col("_terms").alias("specialisms")))
+    blank = t.isNull() | (F.btrim(t, F.lit(" \t\n\r\f\v")) == "")
+    return rows.select(key, F.when(blank, F.lit(INSUFFICIENT_DATA)).otherwise(answer).alias("raw"))
 
 
 def infer_services(sites: DataFrame, describer: Describer | None = None,
                    key: str = "host", text: str = "text") -> DataFrame:
-    """SVC5: run a describer over site texts, one Arrow batch at a time.
+    """SVC5: run a describer over site texts, one Arrow batch at a time; :func:`extract_descriptions` without one.
 
     The describer is built once per task and sees whole pandas batches, so a
     real model client can batch its calls. Output: (key, raw) for SVC1-4.
     """
-    fn = describer or offline_describer
+    if describer is None:
+        return extract_descriptions(sites, key, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "raw": fn(b[text]).astype("string")})
+            yield pd.DataFrame({key: b[key], "raw": describer(b[text]).astype("string")})
 
     key_type = sites.schema[key].dataType.simpleString()
     return sites.select(key, text).mapInPandas(run, f"{key} {key_type}, raw string")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from marketmap.constants import TOKEN_STOP_WORDS
 from marketmap.operators import domains as D
 from marketmap.operators import pages as P
 from marketmap.operators import services as V
@@ -179,10 +180,11 @@ def _good(fx):
     return g.select("host", "path_ord", F.length("text").alias("text_length"))
 
 
-SITE_SQL = f""", plan as ({PLAN_SQL}), fetched as ({FETCHED_SQL}), good as ({GOOD_SQL})
-select host, cast(length(string_agg(text, chr(10) || chr(10) order by path_ord)) as int) as raw_length,
+SITE_CTES = f""", plan as ({PLAN_SQL}), fetched as ({FETCHED_SQL}), good as ({GOOD_SQL})"""
+SITE_SELECT = """select host, cast(length(string_agg(text, chr(10) || chr(10) order by path_ord)) as int) as raw_length,
   substr(string_agg(text, chr(10) || chr(10) order by path_ord), 1, 3000) as text
 from good group by host"""
+SITE_SQL = f"{SITE_CTES}\n{SITE_SELECT}"
 
 
 @register("site_text", views=["v_site_pages"], oracle=SITE_SQL)
@@ -248,10 +250,28 @@ def _sentinel(fx):
         .select("company_number", "services", "specialisms")
 
 
-@register("services_infer", views=["v_site_pages"])
+TERM_RE, STOP_SQL = "'[a-z][a-z0-9]{3,}'", ", ".join(f"'{w}'" for w in TOKEN_STOP_WORDS)
+INFER_SQL = rf"""{SITE_CTES}, site as ({SITE_SELECT}),
+words as (select host, unnest(regexp_extract_all(lower(text), {TERM_RE})) as w from site),
+counted as (select host, w, count(*) as n from words where w not in ({STOP_SQL}) group by host, w),
+ranked as (select host, w, row_number() over (partition by host order by n desc, w) as r from counted),
+terms as (select host, list(w order by r) as specialisms from ranked where r <= 5 group by host),
+cut as (select host, string_split(regexp_replace(trim(text, e' \t\n\r\f'), '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) as s
+  from site),
+sentences as (select host, unnest(s) as s, generate_subscripts(s, 1) as i from cut),
+found as (select distinct host, i, w from (select host, i, unnest(regexp_extract_all(lower(s), {TERM_RE})) as w from sentences) z),
+hits as (select f.host, f.i, count(*) as score from found f join ranked r on r.host = f.host and r.w = f.w and r.r <= 5 group by f.host, f.i),
+best as (select s.host, s.i, s.s, row_number() over (partition by s.host order by coalesce(h.score, 0) desc, s.i) as r
+  from sentences s left join hits h on h.host = s.host and h.i = s.i)
+select b.host, string_agg(b.s, ' ' order by b.i) as services,
+  any_value(coalesce(t.specialisms, cast([] as varchar[]))) as specialisms, 'ok' as status
+from best b left join terms t on t.host = b.host where b.r <= 2 group by b.host"""
+
+
+@register("services_infer", views=["v_site_pages"], oracle=INFER_SQL)
 def _infer(fx):
     sites = P.scrape(_site_domains(fx), fx.view("v_site_pages"))
-    return V.extract_services(V.infer_services(sites))
+    return V.extract_services(V.infer_services(sites)).select("host", "services", "specialisms", "status")
 
 
 @register("eligible_services", views=["v_research"], oracle="""
