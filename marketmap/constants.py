@@ -70,9 +70,6 @@ CONTEXT_SAMPLE_N = 200
 FALLBACK_SLUG_CHARS = 40
 FALLBACK_HASH_CHARS = 16
 
-# Refresh triggers.
-TRIGGERS = ["initial", "scheduled", "unclassified_threshold", "manual"]
-
 # Columns of an exported row, in order.
 EXPORT_COLUMNS = [
     "company_number", "company_name", "postcode", "domain", "domain_confidence",

@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketmap.session import ensure_checkpoint_dir
+from marketmap.session import ensure_checkpoint_dir, path_exists
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -89,7 +89,7 @@ class Fixtures:
             key = (id(spark), app, sf_dir, t)
             if key not in _RELATIONS or _RELATIONS[key].sparkSession is not spark:
                 path = os.path.join(sf_dir, f"{t}.parquet")
-                if not os.path.exists(path):
+                if not path_exists(spark, path):
                     continue
                 _RELATIONS[key] = spark.read.parquet(path)
             _RELATIONS[key].createOrReplaceTempView(t)

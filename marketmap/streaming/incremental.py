@@ -132,6 +132,9 @@ def drift_monitor(spark: SparkSession, input_dir: str, schema, out_table: str, c
 
 # ---- STR2 (count-based): the last W completed rows ----
 
+SALTS = 16
+LAST_W_SCHEMA = "key string, salt int, company_number string, processed_at timestamp_ntz, unclassified boolean"
+
 def _previous_batch(spark: SparkSession, table: str, batch_id: int) -> int | None:
     ids = [int(d.split("=", 1)[1]) for d in list_dirs(spark, table) if d.startswith("batch_id=")]
     ids = [i for i in ids if i < batch_id]
@@ -147,36 +150,40 @@ def drift_last_w(spark: SparkSession, input_dir: str, schema, out_table: str, ch
 
     Each micro-batch unions its completed rows with the previous snapshot,
     keeps the newest row of each company (a reclassified company counts
-    once, as in the state) and then the newest ``window`` per key. ``row_number() <= window`` is
-    planned as a WindowGroupLimit, so even a single hot key is trimmed to
-    ``window`` rows per task before its shuffle. Exact whatever the arrival
-    order; each snapshot is its own overwrite partition (replay-safe).
+    once, as in the state) and then the newest ``window`` per key and salt, where the
+    salt is one of ``SALTS`` hash groups of companies: a snapshot holds at most ``window`` x ``SALTS``
+    rows of a key, no task of a micro-batch merges a whole hot key, and the salts meet when the answer
+    is read. ``row_number() <= window`` is planned as a WindowGroupLimit, so every task sends
+    at most ``window`` rows of a group to the shuffle. A row of the last ``window`` is among those of its
+    salt, so the answer is exact whatever the arrival order, late rows too; each snapshot is its own
+    overwrite partition (replay-safe). A stream without any row gives an empty answer.
     """
     k = F.col(key) if key else F.lit("all")
-    order = [F.col("processed_at").desc_nulls_last(), F.col("company_number")]
+
+    def newest(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.col("processed_at").desc_nulls_last(), F.col("company_number"))
+        return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= window).drop("_r")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         rows = batch.filter(F.col("sector").isNotNull()).select(
-            k.cast("string").alias("key"), "company_number", "processed_at",
-            (F.col("sector") == UNCLASSIFIED).alias("unclassified"))
+            k.cast("string").alias("key"), F.pmod(F.xxhash64("company_number"), F.lit(SALTS)).cast("int").alias("salt"),
+            "company_number", "processed_at", (F.col("sector") == UNCLASSIFIED).alias("unclassified"))
         prev = _previous_batch(spark, out_table, batch_id)
         if prev is not None:
             rows = rows.unionByName(spark.read.parquet(_batch_path(out_table, prev)))
-        newest = Window.partitionBy("key", "company_number") \
+        once = Window.partitionBy("key", "salt", "company_number") \
             .orderBy(F.col("processed_at").desc_nulls_last(), F.col("unclassified"))
-        rows = rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
-        w = Window.partitionBy("key").orderBy(*order)
-        rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= window) \
-            .drop("_r").write.mode("overwrite").parquet(_batch_path(out_table, batch_id))
+        rows = rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+        newest(rows, "key", "salt").write.mode("overwrite").parquet(_batch_path(out_table, batch_id))
 
     stream = spark.readStream.schema(schema) \
         .option("maxFilesPerTrigger", files_per_trigger).parquet(input_dir)
     run_available(stream.writeStream.foreachBatch(process)
                   .option("checkpointLocation", checkpoint))
     last = _previous_batch(spark, out_table, 1 << 62)
-    snap = spark.read.parquet(_batch_path(out_table, last))
-    agg = snap.groupBy("key").agg(F.count_if("unclassified").alias("unclassified"),
-                                  F.count(F.lit(1)).alias("total"))
+    snap = spark.createDataFrame([], LAST_W_SCHEMA) if last is None else spark.read.parquet(_batch_path(out_table, last))
+    agg = newest(snap, "key").groupBy("key").agg(F.count_if("unclassified").alias("unclassified"),
+                                                 F.count(F.lit(1)).alias("total"))
     rate = F.col("unclassified") / F.greatest(F.col("total"), F.lit(1)).cast("double")
     return agg.select("key", "unclassified", "total", rate.alias("rate"),
                       ((F.col("total") >= window) & (rate > threshold)).alias("trigger"))
