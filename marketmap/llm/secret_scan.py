@@ -59,6 +59,7 @@ KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcde
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST_WORD = max(map(len, WORDS))
+REACH = max(LONGEST_WORD, 10)  # a date has at most 10 characters
 DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])(?:[-./]?(?:0[1-9]|[12]\d|3[01]))?)?"
                   r"|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d")
 MIN_BITS = 45.0
@@ -109,12 +110,13 @@ def guess_bits(value: str) -> float:
         if i and (low[i - 1], low[i]) not in _STEPS:
             walk = i
         step(i, i + 1, per_char)
-        # Runs and walks end at i + 1; the one from their start is cheapest, as their cost is the logarithm
-        # of their length.
-        if i - same >= 2:
-            step(same, i + 1, per_char + math.log2(i + 1 - same) + SEGMENT_BITS)
-        if i - walk >= 2:
-            step(walk, i + 1, math.log2(47) + 1 + math.log2(i + 1 - walk) + SEGMENT_BITS)
+        # Runs and walks end at i + 1 and may begin where a word or date that began before them ends, which is less than
+        # REACH behind their start. Behind a piece that lies inside, a longer run is cheaper, as its cost is the
+        # logarithm of its length.
+        for k in range(same, min(i - 1, same + REACH)):
+            step(k, i + 1, per_char + math.log2(i + 1 - k) + SEGMENT_BITS)
+        for k in range(walk, min(i - 1, walk + REACH)):
+            step(k, i + 1, math.log2(47) + 1 + math.log2(i + 1 - k) + SEGMENT_BITS)
         if i in dates:
             step(i, dates[i], (7.0 if dates[i] - i == 4 else 15.5) + SEGMENT_BITS)
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
