@@ -349,3 +349,22 @@ def _compare_blocks(table: pa.Table, least: list[int], percent: int) -> list[tup
 
 def _close_in_size(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+# Near duplicates with two-word shingles at 80 percent: sets compared directly, texts with equal sets once.
+ORACLE_SQL = r"""with recursive texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_sort(list_distinct(case when len(w) = 1 then w
+    else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as s from texts),
+same as (select doc_id, s, len(s) as n, case when len(s) > 0 then min(doc_id) over (partition by s) else doc_id end as rep from sets),
+reps as (select doc_id, n, unnest(s) as shingle from same where doc_id = rep and n > 0),
+links as (select a.doc_id as a, b.doc_id as b from reps a join reps b on a.shingle = b.shingle and a.doc_id < b.doc_id
+    and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id as node, doc_id as seen from same where doc_id = rep
+  union select r.node, e.b from reach r join edges e on e.a = r.seen),
+lowest as (select node, min(seen) as component_id from reach group by node)
+select s.doc_id, cast(s.n as bigint) as n_shingles, l.component_id, s.doc_id = l.component_id as kept
+from same s join lowest l on l.node = s.rep"""

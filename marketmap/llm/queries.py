@@ -74,4 +74,4 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_token_b
                                    op7_html_extract, op8_packing, op9_near_dedup, op10_secret_scan,
                                    op11_centroid_clustering, op12_quality_rules, op13_periodic_runs)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql(),
-           "op11_centroid_clustering": centroid_clustering.oracle_sql(), "op12_quality_rules": repetition.ORACLE_SQL}
+           "op9_near_dedup": near_dedup.ORACLE_SQL, "op11_centroid_clustering": centroid_clustering.oracle_sql(), "op12_quality_rules": repetition.ORACLE_SQL}
