@@ -169,12 +169,13 @@ def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]]) -> Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on a bounded sample: about ROWS_PER_LANGUAGE labelled rows of each language, by a hash of doc_id."""
+    """Fit on a bounded sample: about ROWS_PER_LANGUAGE labelled rows of each language, by a hash of doc_id.
+
+    Of more than MAX_LANGUAGES labels, those with most labelled rows are learned (ties: in order of name); texts of
+    the others are predicted or rejected by what was learned."""
     labelled = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()
                                                             & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"lang has over {MAX_LANGUAGES} values")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return fit([])
     shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], ROWS_PER_LANGUAGE / r["count"])))

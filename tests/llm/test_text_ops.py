@@ -87,6 +87,61 @@ def test_guess_cost_orders_values():
     assert cost("a" * 100000) < 30
 
 
+def piece_bits(value, a, b):
+    """Cost of value[a:b] as one piece of any kind; None if it is none."""
+    import math
+    piece, low, costs = value[a:b], value[a:b].lower(), []
+    per_char = secret_scan._char_bits(value)
+    if b - a == 1:
+        costs.append(per_char)
+    if b - a >= 3 and len(set(low)) == 1:
+        costs.append(per_char + math.log2(b - a) + 1.5)
+    rows = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "9876543210"]
+    near = {x for r in rows for p in zip(r, r[1:]) for x in (p, p[::-1])}
+    if b - a >= 3 and all(p in near for p in zip(low, low[1:])):
+        costs.append(math.log2(47) + 1 + math.log2(b - a) + 1.5)
+    m = secret_scan.DATE.match(value, a)
+    if m and m.end() == b:
+        costs.append((7 if b - a == 4 else 15.5) + 1.5)
+    plain = low.translate(str.maketrans("0134578@$!", "oieastbasi"))
+    if len(plain) >= 3 and plain in secret_scan.WORDS:
+        costs.append(math.log2(secret_scan.WORDS.index(plain) + 1) + 1 + (piece != low) + (low != plain) + 1.5)
+    return min(costs, default=None)
+
+
+def cheapest(value):
+    """Over all ways to cut the value."""
+    best = []
+    for cuts in range(1 << max(len(value) - 1, 0)):
+        at = [0, *(i for i in range(1, len(value)) if cuts >> (i - 1) & 1), len(value)]
+        bits = [piece_bits(value, a, b) for a, b in zip(at, at[1:])]
+        if None not in bits:
+            best.append(sum(bits))
+    return min(best)
+
+
+def test_guess_cost_equals_all_segmentations():
+    import random
+    rng = random.Random(8)
+    parts = ["pass", "dog", "the", "key", "test", "1999", "202", "12/31", "qwe", "asdf", "poi", "abc", "ddd", "SS", "0", "aaaa", "P4", "x", "#", "987", "t"]
+    values = ["passsss", "testttt", "theeeee", "keyuiop", "redsaqw", "roottttt", "1999999", "abcddddd"]
+    while len(values) < 250:
+        v = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        if len(v) <= 11:
+            values.append(v)
+    for v in values:
+        assert abs(secret_scan.guess_bits(v) - cheapest(v)) < 1e-9, v
+
+
+def test_language_learns_the_most_frequent_labels(docs_of, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    words = {"en": "the house and the garden ", "de": "das haus und der garten ", "xx": "zzyx qqor wwub "}
+    rows = [(i, words[lang] * 4, lang) for i, lang in enumerate(["en"] * 60 + ["de"] * 50 + ["xx"] * 20)]
+    out = language_id.identify(docs_of(rows)).collect()
+    assert len(out) == len(rows) and {r["lang_pred"] for r in out} == {"en", "de"}
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] for r in out if rows[r["doc_id"]][2] != "xx")
+
+
 def brute_items(text, items):
     def grams(t, k):
         w = re.findall(r"[^\W_]+", (t or "").lower())
