@@ -172,22 +172,24 @@ def rolling_unclassified(state: DataFrame, window: int = REFRESH_WINDOW) -> Data
     )
 
 
-def refresh_trigger(rolling: DataFrame, rows_since_refresh: DataFrame | int,
+def refresh_trigger(rolling: DataFrame, rows_since_refresh: DataFrame | Column | int,
                     every: int = REFRESH_EVERY, window: int = REFRESH_WINDOW,
                     threshold: float = REFRESH_UNCLASSIFIED_THRESHOLD) -> DataFrame:
     """MON2: 'scheduled', else 'unclassified_threshold' (strictly above), else NULL.
 
-    ``rows_since_refresh`` is a count, or a one-row DataFrame holding it in
-    column ``rows_since_refresh`` (kept lazy: no driver round trip).
+    ``rows_since_refresh`` is a count, a one-row DataFrame holding it in
+    column ``rows_since_refresh`` (kept lazy: no driver round trip), or a column
+    of ``rolling``, judged row by row; other columns of ``rolling`` are kept.
     """
+    others = [c for c in rolling.columns if c not in ("unclassified", "total", "rows_since_refresh")]
     if isinstance(rows_since_refresh, DataFrame):
         rolling = attach_one_row(rolling, rows_since_refresh.select("rows_since_refresh"))
         since = F.col("rows_since_refresh")
     else:
-        since = F.lit(rows_since_refresh)
+        since = F.lit(rows_since_refresh)  # a column stays one
     rate = F.col("unclassified") / F.greatest(F.col("total"), F.lit(1)).cast("double")
     return rolling.select(
-        "unclassified", "total", since.cast("bigint").alias("rows_since_refresh"),
+        *others, "unclassified", "total", since.cast("bigint").alias("rows_since_refresh"),
         F.when(since >= every, F.lit("scheduled"))
         .when((F.col("total") >= window) & (rate > threshold), F.lit("unclassified_threshold"))
         .otherwise(F.lit(None).cast("string")).alias("trigger"),

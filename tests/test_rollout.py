@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketmap.operators.model import ResponseLog, classify_with_model
 from marketmap.plans import modes
+from marketmap.streaming.rollout import Rollout
 
 SECTORS = {"Roofing": ["slates", "gutters"], "Baking": ["bread", "pastry"]}
 WORDS = {"slates": "we fix slates roofing", "gutters": "gutters and roofing", "bread": "we bake bread baking",
@@ -110,6 +111,57 @@ def test_stream_of_files_refreshes_and_leaves_placed_rows(spark, store, tmp_path
     assert store.current().filter("sector = 'UNCLASSIFIED' or sector is null").count() == 0
 
 
+def _outcome(store, run_id, chunks):
+    """Ledger, the patches of every chunk, and the state in the order of the last W places."""
+    run = modes.rollout(store, run_id)
+    patches = [sorted(map(str, store.batch(run.patch_batch(i)).drop("processed_at", "seq").collect())) for i in range(chunks)]
+    newest = store.current().orderBy(F.col("processed_at").desc_nulls_last(), "company_number")
+    return (sorted(map(tuple, run.ledger().collect())), patches,
+            list(map(str, newest.drop("processed_at").collect())), sorted(map(str, run._tail(chunks - 1).drop("processed_at").collect())))
+
+
+def _runs_ahead_and_step_by_step(spark, tmp_path, monkeypatch, kinds, **kw):
+    """Outcomes of one run with spans and one of single chunks, and the placements of the first."""
+    out, placed = [], []
+    place = Rollout._placed
+    for ahead in (1024, 1):
+        monkeypatch.setattr("marketmap.streaming.rollout.MOST_AHEAD", ahead)
+        store = modes.ResearchStore(spark, str(tmp_path / f"ahead{ahead}"))
+        store.save_taxonomy(flat_of(spark), "initial", 0)
+        rows = state_rows(store, kinds).unionByName(state_rows(store, kinds, saved=False).filter("input_seq = 3"))
+        if ahead > 1:
+            monkeypatch.setattr(Rollout, "_placed", lambda *a: placed.append(a[2]) or place(*a))
+        run = modes.rollout(store, "r", expected=2, **kw)
+        chunks = run.queue(rows, 5)
+        run.run(chunks)
+        monkeypatch.setattr(Rollout, "_placed", place)
+        out.append(_outcome(store, "r", chunks))
+    return *out, placed, chunks
+
+
+def test_chunks_are_placed_ahead_in_one_job(spark, tmp_path, monkeypatch):
+    kinds = ["slates", "drones", "bread", "INSUFFICIENT_DATA", "", "bread", "drones"] * 2
+    ahead, single, placed, chunks = _runs_ahead_and_step_by_step(
+        spark, tmp_path, monkeypatch, kinds, window=8, threshold=0.45, every=14, auto_refresh=False)
+    assert ahead == single and chunks == 3
+    assert placed == [0]
+    assert {r[6] for r in ahead[0]} == {None, "unclassified_threshold", "scheduled"}
+
+
+def test_interrupted_span_goes_on(spark, store, monkeypatch):
+    companies = state_rows(store, DRIFT)
+    keep = Rollout._write_ledger
+    monkeypatch.setattr(Rollout, "_write_ledger", lambda self, rows: keep(self, rows) if rows[0][0] < 1 else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        modes.classify(store, companies, *stages(spark), run_id="r", **settings())
+    monkeypatch.setattr(Rollout, "_write_ledger", keep)
+    out = modes.classify(store, companies, *stages(spark), run_id="r", **settings())
+    assert out["processed"] == 30 and out["chunks"] == 3 and out["refreshes"] == [2]
+    steps = sorted(modes.rollout(store, "r").ledger().collect())
+    assert [r["version_id"] for r in steps] == [1, 1, 2] and store.latest_version() == 2
+    assert store.current().filter("sector = 'UNCLASSIFIED' or sector is null").count() == 0
+
+
 # ---- a user's model ----
 
 class Scripted:
