@@ -147,7 +147,6 @@ _TOKEN_RE = (r"(?is)<(script|style)(?=[\s/>])" + _ATTRS + r">.*?(?:</\1\s*>|\z)|
 _NAME_RE = (r"(?is)^<(?!(?:script|style|" + "|".join(VOID_HTML_TAGS) + rf")[\s/>]|[^{_SHUT}]*/>{_SHUT})(/?[A-Za-z][^\s/>]*)")
 # Elements that hold others and are dropped with all of them.
 _DROPPED_TREES = [t for t in DROPPED_HTML_TAGS if t not in ("script", "style")]
-_TREE_RE = "(?i)<(?:" + "|".join(_DROPPED_TREES) + r")[\s/>]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -155,17 +154,18 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _shown(page: Column) -> Column:
-    """Text segments of a page outside dropped elements, in page order.
+def _shown(page: Column, trees: Column) -> Column:
+    """Text segments of a page outside dropped elements (``trees``: their names), in page order.
 
     The page is cut into segments, each a tag and the text after it. A fold over the tags keeps the open elements
     as '/inner/outer/': an end tag closes the nearest open element of its name and all inside it, so a dropped
     element that is never closed ends with its parent. The fold collects the ranges of segments that show.
     """
-    return _let(F.split(F.regexp_replace(page, _TOKEN_RE, f"{_OPEN}$0{_SHUT}"), _OPEN, -1), _shown_segments)
+    return _let(F.split(F.regexp_replace(page, _TOKEN_RE, f"{_OPEN}$0{_SHUT}"), _OPEN, -1),
+                lambda segments: _shown_segments(segments, trees))
 
 
-def _shown_segments(segments: Column) -> Column:
+def _shown_segments(segments: Column, trees: Column) -> Column:
     def name(segment: Column) -> Column:
         return F.lower(F.regexp_extract(segment, _NAME_RE, 1))
 
@@ -180,7 +180,7 @@ def _shown_segments(segments: Column) -> Column:
         left = F.when(~ends, F.concat(F.lit("/"), tag["name"], state["open"])) \
             .when(at > 0, F.substring(state["open"], at + F.length(tag["name"]), F.length(state["open"]))) \
             .otherwise(state["open"])
-        hides = (state["below"] < 0) & tag["name"].isin(*_DROPPED_TREES)
+        hides = (state["below"] < 0) & F.array_contains(trees, tag["name"])
         shows = (state["below"] >= 0) & (F.length(left) <= state["below"])
         seen = F.struct((state["since"] + 1).alias("a"), (tag["i"] - state["since"]).alias("n"))
         return F.struct(
@@ -252,11 +252,14 @@ def html_text(c) -> Column:
     comments, turns every remaining tag into a separator, decodes character references and collapses white space.
     The noncharacters U+FDD0 and U+FDD1 are removed from the page.
     """
-    def text(page: Column) -> Column:
+    def text(page: Column, trees: Column) -> Column:
         # Where no element can be dropped with others in it, tags need no nesting.
-        return F.when(page.rlike(_TREE_RE), _shown(page)).otherwise(F.regexp_replace(page, _TOKEN_RE, " "))
+        tree_re = F.concat(F.lit("(?i)<(?:"), F.array_join(trees, "|"), F.lit(r")[\s/>]"))
+        return F.when(F.rlike(page, tree_re), _shown(page, trees)).otherwise(F.regexp_replace(page, _TOKEN_RE, " "))
 
-    return collapse_ws(decode_references(_let(F.regexp_replace(_c(c), f"[{_OPEN}{_SHUT}]", ""), text)))
+    names = F.array(*map(F.lit, _DROPPED_TREES))
+    return collapse_ws(decode_references(_let(
+        F.regexp_replace(_c(c), f"[{_OPEN}{_SHUT}]", ""), lambda page: _let(names, lambda trees: text(page, trees)))))
 
 
 # ---- SVC1-4: model responses ----
